@@ -31,21 +31,27 @@ def canonical_code(raw: Column | str) -> Column:
     return F.coalesce(F.try_element_at(code_map(RENAMED), c), F.try_element_at(code_map(SHORTHAND), c), c)
 
 
-def resolve(codes: DataFrame, column: str, dim: DataFrame) -> DataFrame:
-    """``column``, ``code``, ``variety_code`` for each distinct raw code.
+def with_code(df: DataFrame, column: str, dim: DataFrame, code: str, variety: str) -> DataFrame:
+    """``df`` with the language and variety a raw code files under, by two joins with the small code table.
 
     Exact first; else whatever the case, if the part before the first dash agrees exactly. An unknown
     code passes through as itself.
     """
-    raw = codes.select(F.col(column).alias("_raw")).where("_raw is not null").distinct().withColumn("_want", canonical_code("_raw"))
     base = lambda c: F.substring_index(c, "-", 1)
-    d = dim.select("key", "code", "variety_code")
-    exact = raw.join(d, F.col("_want") == F.col("key"))
-    loose = raw.join(exact.select(F.col("_raw").alias("_x")), F.col("_raw") == F.col("_x"), "left_anti")
-    folded = loose.join(d, (F.lower("_want") == F.lower("key")) & (base(F.col("_want")) == base(F.col("key"))), "left")
-    best = folded.groupBy("_raw", "_want").agg(F.min(F.struct("key", "code", "variety_code")).alias("_b"))
-    cols = lambda df, c, v: df.select(F.col("_raw").alias(column), c.alias("code"), v.alias("variety_code"))
-    return cols(exact, F.col("code"), F.col("variety_code")).unionByName(cols(best, F.coalesce("_b.code", "_want"), F.col("_b.variety_code")))
+    exact = dim.select(F.col("key").alias("_ek"), F.col("code").alias("_ec"), F.col("variety_code").alias("_ev"))
+    loose = dim.groupBy(F.lower("key").alias("_lk"), base("key").alias("_lb")).agg(F.min(F.struct("key", "code", "variety_code")).alias("_l"))
+    want = canonical_code(column)
+    j = df.join(exact, want == F.col("_ek"), "left").join(loose, (F.lower(want) == F.col("_lk")) & (base(want) == F.col("_lb")), "left")
+    known = F.col("_ek").isNotNull()
+    j = j.withColumns({
+        code: F.when(known, F.col("_ec")).otherwise(F.coalesce("_l.code", want)), variety: F.when(known, F.col("_ev")).otherwise(F.col("_l.variety_code"))
+    })
+    return j.drop("_ek", "_ec", "_ev", "_lk", "_lb", "_l")
+
+
+def resolve(codes: DataFrame, column: str, dim: DataFrame) -> DataFrame:
+    """``column``, ``code``, ``variety_code`` for each distinct raw code."""
+    return with_code(codes.select(column).where(F.col(column).isNotNull()).distinct(), column, dim, "code", "variety_code")
 
 
 def is_reconstructed_code(code: Column | str, kind: Column | str | None = None) -> Column:

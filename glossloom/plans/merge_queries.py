@@ -198,3 +198,16 @@ def template_args_json(spark: SparkSession, d: str) -> DataFrame:
     """A named argument of a JSON map."""
     e = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("args"))
     return e.select("event_id", F.try_element_at("args", F.lit("k")).try_cast("int").alias("k"))
+
+
+@query()
+def missing_edges_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Links of rendered trees that no staged edge states."""
+    from glossloom.operators import crosscheck
+
+    return crosscheck.missing(crosscheck.tree_edges(table(spark, d, "ety_tree")), table(spark, d, "stg_edge"))
+
+
+@query("select lang_code, part_of_speech, gloss, count(*) as n_rows from stg_term group by all")
+def term_rows_by_sense(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stg_term").groupBy("lang_code", "part_of_speech", "gloss").agg(F.count(F.lit(1)).alias("n_rows"))
