@@ -70,12 +70,12 @@ def lang_and_term(x: Column | str) -> Column:
 
 def lang_codes(x: Column | str) -> Column:
     """The codes of a comma list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(_c(x), ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(_c(x), ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def alternants(x: Column | str) -> Column:
     """The terms of a slot that lists alternatives with ``//``."""
-    return F.filter(F.transform(F.split(strip_inline(x), "//"), F.trim), has_term)
+    return F.filter(F.transform(F.split(strip_inline(x), "//"), lambda v: F.trim(v)), has_term)
 
 
 def affix_dash(x: Column | str, side: Column | str) -> Column:
