@@ -93,7 +93,7 @@ def name_budget(col: str) -> str:
 def pigeonhole_sql(values: str, refs: str) -> str:
     """SQL for the best entry of ``refs(key, r, k)`` for each ``values(raw, v)``: ``raw``, ``key``, ``dist``.
 
-    Of equally close entries the least key counts. ``k`` must be below the length of ``r``.
+    Of equally close entries the longest, that is the most specific, counts, then the least key. ``k`` must be below the length of ``r``.
     """
     return f"""
 with cut as (
@@ -118,9 +118,9 @@ near as (
   select distinct probe.v, seg.key, seg.r, seg.k
   from probe join seg on probe.len = seg.len and probe.k = seg.k and probe.i = seg.i and probe.piece = substring(seg.r, seg.at, seg.wide)
 ), verified as (
-  select v, key, levenshtein(v, r, k) as dist from pair where levenshtein(v, r, k) >= 0
+  select v, key, -length(r) as brief, levenshtein(v, r, k) as dist from pair where levenshtein(v, r, k) >= 0
 )
-select raw, min_by(key, struct(dist, key)) as key, min(dist) as dist
+select raw, min_by(key, struct(dist, brief, key)) as key, min(dist) as dist
 from {values} join verified using (v) group by raw
 """
 

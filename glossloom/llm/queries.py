@@ -99,16 +99,16 @@ _P7 = f"""
 with lang_val as (select distinct lang_text as raw from raw_citation where lang_text is not null),
 lang_form as (select raw, unnest([{canonical.name_form(_D, "raw")}, {canonical.name_form(_D, _BARE)}]) as v from lang_val),
 lang_ref as (select code as key, {canonical.name_form(_D, "name")} as r from language_record),
-lang_pair as (select raw, key, levenshtein(v, r) as dist from lang_form, lang_ref where levenshtein(v, r) <= {canonical.name_budget("r")}),
-by_name as (select raw, arg_min(key, (dist, key)) as key from lang_pair group by raw),
+lang_pair as (select raw, key, -length(r) as brief, levenshtein(v, r) as dist from lang_form, lang_ref where levenshtein(v, r) <= {canonical.name_budget("r")}),
+by_name as (select raw, arg_min(key, (dist, brief, key)) as key from lang_pair group by raw),
 code_ref as (select code, lower(unnest([code, iso639_1, iso639_2b, iso639_3] || coalesce(wikimedia_codes, []))) as alias from language_record),
 by_code as (select raw, min(code) as key from (select raw, unnest({canonical.code_tokens(_D, "raw")}) as alias from lang_val) join code_ref using (alias) group by raw),
 word_val as (select distinct src_text as raw, {_D.words(canonical.lemma_form(_D, "src_text"))} as w from raw_citation where src_text is not null),
 word_form as (select raw, array_to_string(w[i:j], '') as v from (select raw, w, i, unnest(range(i, len(w) + 1)) as j from (select raw, w, unnest(range(1, len(w) + 1)) as i from word_val))
   where j - i < 4 or j = len(w)),
 word_ref as (select cast(lemma_id as varchar) as key, replace({canonical.lemma_form(_D, "headword")}, ' ', '') as r from lemma_ref),
-word_pair as (select raw, key, levenshtein(v, r) as dist from word_form, word_ref where levenshtein(v, r) <= {canonical.budget("r")}),
-by_word as (select raw, arg_min(key, (dist, key)) as key from word_pair group by raw)
+word_pair as (select raw, key, -length(r) as brief, levenshtein(v, r) as dist from word_form, word_ref where levenshtein(v, r) <= {canonical.budget("r")}),
+by_word as (select raw, arg_min(key, (dist, brief, key)) as key from word_pair group by raw)
 select distinct citation_id, 'lang_text' as raw_field, coalesce(n.key, c.key, '') as matched_key
 from raw_citation r left join by_name n on n.raw = r.lang_text left join by_code c on c.raw = r.lang_text where lang_text is not null
 union all
