@@ -35,7 +35,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], value: str, order: str, k: i
     top = weighted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, value, "rank")
     # Read as one frame of arrays per key so that the join below is on few, short rows.
     best = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", value))).alias("_best"))
-    sizes = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_values)
+    # Counted by order so that both branches read the same columns and share one shuffle.
+    n = F.count("_order") + F.count_if(F.col("_order").isNull())
+    sizes = weighted.groupBy(*keys).agg(n.alias("_n")).where(F.col("_n") >= min_values)
     return best.join(_renamed(sizes, keys), _eq(keys), "left_semi").select(*keys, F.inline("_best").alias("rank", value))
 
 
