@@ -100,14 +100,11 @@ def walk(spark: SparkSession, edges: DataFrame, senses: DataFrame, anchors: Data
     def finished(level: DataFrame) -> DataFrame:
         level = level.join(counts, F.col("src_term_id") == F.col("_t"), "left").withColumn("etymology_count", F.when(F.col("src_section") == 0, n).otherwise(F.lit(0)).cast("long"))
         level = level.withColumn("near_section", F.col("src_section") if down else F.col("dst_section"))
-        return scratch.save(level.select(*state))
+        return scratch.save(level.select(*state), n=F.count(F.lit(1)))
 
     levels = [finished(_first_hop(e, anchors, down, cap, F.col("depth")))]
-    for _ in range(LIMIT):
-        nxt = finished(_next_hop(e, levels[-1], down, cap))
-        if nxt.limit(1).count() == 0:
-            break
-        levels.append(nxt)
+    while scratch.metric(levels[-1], "n") and len(levels) < LIMIT:
+        levels.append(finished(_next_hop(e, levels[-1], down, cap)))
     out = reduce(DataFrame.unionByName, levels).drop("path", "priority", "near_section", "far_section")
     return out.withColumn("src_section_unstated", F.col("etymology_count") >= 2) if down else out
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -54,17 +54,28 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, replaces: list[str] | None = None) -> DataFrame:
-        """Write and read back; then delete the tables named in ``replaces``."""
+    def save(self, df: DataFrame, replaces: list[str] | None = None, **metrics: Column) -> DataFrame:
+        """Write and read back; then delete the tables named in ``replaces``.
+
+        ``metrics`` are aggregates taken while the rows are written, for :meth:`metric`.
+        """
         self.n += 1
         path = f"{self.base}/{self.n:04d}"
+        schema, seen = df.schema, None
+        if metrics:
+            seen = Observation()
+            df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         for old in replaces or []:
             self.delete(old)
-        back = self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(schema).parquet(path)
         back._glossloom_path = path
+        back._glossloom_metrics = seen.get if seen else {}
         return back
 
+    def metric(self, df: DataFrame, name: str):
+        return df._glossloom_metrics[name]
+
     def path(self, df: DataFrame) -> str:
         return df._glossloom_path
 
