@@ -13,6 +13,8 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossloom.session import Scratch
+
 # Latin letters without a decomposition, as "letter base".
 _BASES = dict(p.split() for p in "ð d, þ t, đ d, æ a, œ o, ø o, ł l, ı i, ħ h, ŋ n, ß s".split(", "))
 
@@ -142,7 +144,8 @@ def map_values(spark: SparkSession, entered: DataFrame, refs: DataFrame, value_f
     spark.sql(f"select raw, {value_form} as w from _once_{tag}").createOrReplaceTempView(f"_word_{tag}")
     spark.sql(f"select raw, v from _word_{tag} lateral view explode(array_distinct({value_variants})) as v").createOrReplaceTempView(f"_val_{tag}")
     spark.sql(f"select distinct key, r, {k.format(col='r')} as k from (select key, {ref_form} as r from _ref_{tag} where name is not null)").createOrReplaceTempView(f"_form_{tag}")
-    return spark.sql(pigeonhole_sql(f"_val_{tag}", f"_form_{tag}"))
+    # One row per distinct value that was matched; kept, because several plans read it.
+    return Scratch(spark).save(spark.sql(pigeonhole_sql(f"_val_{tag}", f"_form_{tag}")))
 
 
 def with_unmatched(spark: SparkSession, entered: DataFrame, found: DataFrame) -> DataFrame:
