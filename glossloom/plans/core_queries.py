@@ -93,7 +93,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Per source term and relation: distinct destinations' languages, the commonest, median dump date."""
+    """Per source term and relation: distinct, commonest and median language code of its destinations."""
     keys = ["src_lang_code", "src_headword", "rel_type"]
     e = table(spark, d, "stg_edge").select(*keys, "dst_lang_code")
     return skew.profile(e, keys, "dst_lang_code", lambda v: F.substring(v, 1, 2))

@@ -211,3 +211,29 @@ def missing_edges_anti(spark: SparkSession, d: str) -> DataFrame:
 @query("select lang_code, part_of_speech, gloss, count(*) as n_rows from stg_term group by all")
 def term_rows_by_sense(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stg_term").groupBy("lang_code", "part_of_speech", "gloss").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""select p_partkey, i as piece, case when i = 1 and not ends_with(w, '-') then w || '-' when i = n and i > 1 and not starts_with(w, '-') then '-' || w else w end as shown
+from (select p_partkey, len(s) as n, unnest(range(1, len(s) + 1)) as i, s[i] as w from (select p_partkey, string_split(p_name, ' ') as s from part))""")
+def affix_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The words of a name as pieces of a confix: the first with a trailing, the last with a leading dash."""
+    s = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("s"))
+    s = s.select("p_partkey", F.size("s").alias("n"), F.posexplode("s").alias("i", "w"))
+    side = F.when(F.col("i") == 0, "trailing").when(F.col("i") == F.col("n") - 1, "leading")
+    return s.select("p_partkey", (F.col("i") + 1).alias("piece"), F.coalesce(X.affix_dash("w", side), "w").alias("shown"))
+
+
+@query("""select code, trim(x) as alias from (select distinct code, unnest(string_split(concat_ws(', ', code, iso639_1, iso639_2b, iso639_3), ',')) as x from language_record) where trim(x) <> ''""")
+def directional_langs(spark: SparkSession, d: str) -> DataFrame:
+    """Comma lists of language codes, one row per code."""
+    t = table(spark, d, "language_record").select("code", F.concat_ws(", ", "code", "iso639_1", "iso639_2b", "iso639_3").alias("list")).distinct()
+    return t.select("code", F.explode(X.lang_codes("list")).alias("alias"))
+
+
+@query("""select case when rel_type = 'inflection' then 'inflection' when src_variety_code is not null then 'variety' when dst_section > 0 then 'section' else 'same term' end as kind, count(*) as n_edges
+from stg_edge where src_lang_code = dst_lang_code and src_headword = dst_headword group by 1""")
+def self_loop_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Staged edges from a term to itself, by kind."""
+    e = table(spark, d, "stg_edge").where("src_lang_code = dst_lang_code and src_headword = dst_headword")
+    kind = F.when(F.col("rel_type") == "inflection", "inflection").when(F.col("src_variety_code").isNotNull(), "variety").when(F.col("dst_section") > 0, "section").otherwise("same term")
+    return e.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_edges"))

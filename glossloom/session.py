@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="glossloom-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
