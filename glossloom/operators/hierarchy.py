@@ -25,6 +25,8 @@ from glossloom.session import Scratch
 
 #: Blocks into which the children of one parent are split for the running sum of subtree sizes.
 SIBLING_BLOCKS = 256
+#: Positions per block of a tree's order, by which intervals meet the nodes in them.
+POSITION_BLOCK = 128
 
 
 def _double(scratch: Scratch, state: DataFrame, add: dict[str, str]) -> DataFrame:
@@ -148,9 +150,13 @@ def descendants(placed: DataFrame, of: DataFrame) -> DataFrame:
     """All descendants of the nodes ``of`` (``tree``, ``node``): each one's chain interval, read off the order.
 
     ``placed`` is the result of :func:`hierarchy`. Returns ``tree``, ``node``, ``descendant``, ``steps``.
-    A node that is unknown or leads into a loop has none.
+    A node that is unknown or leads into a loop has none. Nodes and intervals meet by block of the order,
+    so a large tree is not paired whole: an interval looks at no more than a block at either end in vain.
     """
     a = placed.join(of.select(F.col("tree").alias("_t"), F.col("node").alias("_n")).distinct(), (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n")), "left_semi")
-    a = a.where("depth >= 0").select(F.col("tree").alias("_at"), F.col("root").alias("_ar"), F.col("node").alias("_an"), F.col("depth").alias("_ad"), F.col("first_pos").alias("_f"), F.col("last_pos").alias("_l"))
-    cond = (F.col("tree") == F.col("_at")) & (F.col("root") == F.col("_ar")) & (F.col("first_pos") > F.col("_f")) & (F.col("first_pos") <= F.col("_l"))
-    return placed.where("depth >= 0").join(a, cond).select("tree", F.col("_an").alias("node"), F.col("node").alias("descendant"), (F.col("depth") - F.col("_ad")).alias("steps"))
+    a = a.where("depth >= 0 and last_pos > first_pos").select(F.col("tree").alias("_at"), F.col("root").alias("_ar"), F.col("node").alias("_an"), F.col("depth").alias("_ad"), F.col("first_pos").alias("_f"), F.col("last_pos").alias("_l"))
+    block = lambda pos: F.floor(pos / F.lit(POSITION_BLOCK))
+    a = a.withColumn("_ab", F.explode(F.sequence(block(F.col("_f") + 1), block(F.col("_l")))))
+    p = placed.where("depth > 0").withColumn("_pb", block(F.col("first_pos")))
+    cond = (F.col("tree") == F.col("_at")) & (F.col("root") == F.col("_ar")) & (F.col("_pb") == F.col("_ab")) & (F.col("first_pos") > F.col("_f")) & (F.col("first_pos") <= F.col("_l"))
+    return p.join(a, cond).select("tree", F.col("_an").alias("node"), F.col("node").alias("descendant"), (F.col("depth") - F.col("_ad")).alias("steps"))

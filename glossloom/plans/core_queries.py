@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossloom.operators import hierarchy as H
 from glossloom.operators import nested, references, skew, snapshots
-from glossloom.session import table
+from glossloom.session import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,12 +81,21 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each language set with every set below it, read off the chain intervals."""
+    """Each language set with every set below it, read off the chain intervals; :func:`p3_all_descendants` has all trees."""
     links = tree_links(spark, d).where("tree = 'language_set'")
     h = H.hierarchy(spark, links, paths=False)
     return H.descendants(h, links).select(F.col("node").alias("ancestor"), "descendant", F.col("steps").cast("int").alias("steps"))
 
 
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Each node of every tree with every node below it, read off the chain intervals."""
+    links = tree_links(spark, d)
+    scratch = Scratch(spark)
+    h = scratch.save(H.hierarchy(spark, links, paths=False))
+    below = H.descendants(h, h.select("tree", "node"))
+    return below.select(F.col("tree").alias("tree_name"), F.col("node").alias("ancestor"), "descendant", F.col("steps").cast("int").alias("steps"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["src_lang_code", "src_headword", "rel_type"]
     return skew.top_per_key(table(spark, d, "stg_edge"), keys, "edge_id", "loaded_at", 3, 20).select(*keys, "edge_id")
@@ -105,7 +114,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_snapshot_orphans, p2_found, p2_summary, p3_found, p3_paths, p3_descendants, p4_found, p4_profile, p6_found)
+    for f in (p1_found, p1_report, p1_snapshot_orphans, p2_found, p2_summary, p3_found, p3_paths, p3_descendants, p3_all_descendants, p4_found, p4_profile, p6_found)
 }
 
 _P1 = """
@@ -157,6 +166,13 @@ _UP = """, up as (
   union all
   select u.tree_name, l.parent, u.des, u.steps + 1 from up u join links l on u.tree_name = l.tree_name and l.node = u.anc where l.parent is not null and u.steps < 200
 )"""
+# From nodes under a root only, which no loop can reach, so no limit of steps is needed.
+_P3_ALL = f"""with recursive {_LINKS}, below as (
+  select tree_name, node as ancestor, node as descendant, 0 as steps from walk
+  union all
+  select b.tree_name, b.ancestor, l.node, b.steps + 1 from below b join links l on l.tree_name = b.tree_name and l.parent = b.descendant
+)
+select tree_name, ancestor, descendant, steps from below where steps > 0"""
 _P4 = """
 with e as (select distinct src_lang_code, src_headword, rel_type, edge_id, loaded_at from stg_edge),
 r as (select *, count(*) over (partition by src_lang_code, src_headword, rel_type) n,
@@ -203,6 +219,7 @@ left join (select tree_name, anc, count(*) - 1 as n from up group by all) c on c
     "p3_descendants": f"""with recursive {_LINKS}{_UP}
 select anc as ancestor, des as descendant, steps from up join walk w on w.tree_name = up.tree_name and w.node = up.anc
 where up.tree_name = 'language_set' and steps > 0""",
+    "p3_all_descendants": _P3_ALL,
     "p4_found": _P4,
     "p4_profile": _P4_PROFILE,
     "p6_found": _P6,

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossloom.operators import hierarchy, merge, nested, references, skew, snapshots
+from glossloom.plans import core_queries
 
 
 # -- 1 -------------------------------------------------------------------------------------------
@@ -102,6 +103,23 @@ def test_hierarchy_of_nothing(spark):
     assert {(r.node, r.depth) for r in hierarchy.hierarchy(spark, loops).collect()} == {("a", -1), ("b", -1)}
 
 
+def test_descendants_over_blocks(spark):
+    rnd = random.Random(7)
+    parent = {f"n{i}": (f"n{i - 1}" if i < 300 else f"n{rnd.randrange(i)}") if i else None for i in range(600)} | {"a": "b", "b": "a"}
+    links = spark.createDataFrame([(t, k, v) for t in ("s", "t") for k, v in parent.items()], "tree string, node string, parent string")
+    h = hierarchy.hierarchy(spark, links, paths=False).cache()
+    got = sorted((r.tree, r.node, r.descendant, r.steps) for r in hierarchy.descendants(h, links).collect())
+    assert got == sorted((t, a, k, i) for t in ("s", "t") for k, p in _brute_tree(parent).items() if p for i, a in enumerate(p[-2::-1], 1))
+
+
+def test_all_descendants_cover_both_trees(spark, tmp_path):
+    spark.createDataFrame([("ine", None), ("gem", "ine"), ("gem", "ine"), ("x", "y"), ("y", "x")], "code string, superset string").write.parquet(f"{tmp_path}/language_set.parquet")
+    edges = [("la", "a", "fr", "b", "inherited"), ("fr", "b", "ht", "c", "inherited"), ("fr", "b", "ht", "d", "borrowed"), ("q", "l", "q", "l", "inherited"), ("ine", "gem", "gem", "ine", "inherited")]
+    spark.createDataFrame(edges * 2, "src_lang_code string, src_headword string, dst_lang_code string, dst_headword string, rel_type string").write.parquet(f"{tmp_path}/stg_edge.parquet")
+    got = sorted(tuple(r) for r in core_queries.p3_all_descendants(spark, str(tmp_path)).collect())
+    assert got == [("edge", "fr:b", "ht:c", 1), ("edge", "ine:gem", "gem:ine", 1), ("edge", "la:a", "fr:b", 1), ("edge", "la:a", "ht:c", 2), ("language_set", "ine", "gem", 1)]
+
+
 # -- 4 -------------------------------------------------------------------------------------------
 def test_top_per_key(spark):
     rows = [("a", None, i, i // 2, "z") for i in range(6)] * 2 + [("b", "x", 1, None, "z"), ("b", "x", 2, None, "z"), ("b", "x", None, 9, "z"), ("c", "x", 1, 5, "z")]
