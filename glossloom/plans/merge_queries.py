@@ -75,11 +75,18 @@ def alias_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select distinct headword, strip_accents(headword) as folded from stg_term where headword is not null and regexp_matches(headword, '^[ -~À-ʯ]*$')")
 def accent_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Latin headwords without marks."""
+    """Latin headwords without marks; :func:`accent_fold_all` has all headwords."""
     t = table(spark, d, "stg_term").where(F.col("headword").rlike("^[ -~À-ʯ]*$")).select("headword").distinct()
     return t.select("headword", X.accent_folded("headword").alias("folded"))
 
 
+@query()
+def accent_fold_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every headword without combining marks. No SQL: strip_accents also drops U+034F, whose combining class is 0, and composes Hangul."""
+    t = table(spark, d, "stg_term").where("headword is not null").select("headword").distinct()
+    return t.select("headword", X.accent_folded("headword").alias("folded"))
+
+
 @query(f"with {_ID} select * from ids")
 def id_section_pick(spark: SparkSession, d: str) -> DataFrame:
     return M.id_sections(table(spark, d, "stg_section_claim"))

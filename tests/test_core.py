@@ -2,13 +2,14 @@
 
 import json
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossloom.operators import hierarchy, merge, nested, references, skew, snapshots
-from glossloom.plans import core_queries
+from glossloom.plans import core_queries, merge_queries
 
 
 # -- 1 -------------------------------------------------------------------------------------------
@@ -201,6 +202,19 @@ def test_nested_deep_and_dirty(spark):
     assert nested.tree_rows(df.limit(0)).count() == 0
 
 
+# -- folding -------------------------------------------------------------------------------------
+def test_accent_fold_of_all_headwords(spark, tmp_path):
+    want = {
+        "": "", "plain": "plain", "é": "e", "e\u0301": "e", "ậ": "a", "a\u0302\u0323": "a", "a\u0323\u0302": "a", "\u0301": "", "Ἄρης": "Αρης", "йод": "иод", "ёж": "еж",
+        "ａ\u0304": "ａ", "x₂": "x₂", "a\u200bb": "a\u200bb", "a\u034fb": "a\u034fb", "한": "\u1112\u1161\u11ab", "が": "か", "ø": "ø", "😀": "😀",
+    }
+    spark.createDataFrame([(w,) for w in [*want, *want, None]], "headword string").write.parquet(f"{tmp_path}/stg_term.parquet")
+    got = merge_queries.accent_fold_all(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.headword: r.folded for r in got} == want
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    assert want == {w: plain(w) for w in want}
+
+
 # -- merging -------------------------------------------------------------------------------------
 def test_aliases(spark):
     rows = [
