@@ -194,17 +194,19 @@ def language_matches(spark: SparkSession, citations: DataFrame, languages: DataF
 def lemma_matches(spark: SparkSession, citations: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``raw``, ``key`` (lemma id as a string) of each distinct ``src_text`` that means a lemma.
 
-    Tried are all runs of the value's words, joined: a blank may have slipped into the lemma, and a
-    language name may stand before or behind it.
+    Tried are all runs of the value's words, joined, but those too long for any lemma and its edits: any
+    number of blanks may have slipped into the lemma, and a language name may stand before or behind it.
     """
     d = Dialect()
+    form = lambda col: f"replace({lemma_form(d, col)}, ' ', '')"
+    longest = lemmas.selectExpr(f"{form('headword')} as r").selectExpr(f"max(length(r) + {budget('r')})").first()[0] or 1
     runs = (
-        "transform(filter(flatten(transform(sequence(1, size(w)), i -> transform(sequence(i, size(w)), j -> struct(i, j)))), "
-        "x -> x.j - x.i < 4 or x.j = size(w)), x -> array_join(slice(w, x.i, x.j - x.i + 1), ''))"
+        f"flatten(transform(sequence(1, size(w)), i -> filter(transform(sequence(i, least(size(w), i + {longest} - 1)), "
+        f"j -> array_join(slice(w, i, j - i + 1), '')), v -> length(v) <= {longest})))"
     )
     return map_values(
         spark, citations.selectExpr("src_text as raw"), lemmas.selectExpr("cast(lemma_id as string) as key", "headword as name"),
-        d.words(lemma_form(d, "raw")), runs, f"replace({lemma_form(d, 'name')}, ' ', '')", budget("{col}"),
+        d.words(lemma_form(d, "raw")), runs, form("name"), budget("{col}"),
     ).select("raw", "key")
 
 

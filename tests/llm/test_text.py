@@ -100,6 +100,18 @@ def test_citations(spark):
     assert got == {(i, "lang_text"): k for i, k in enumerate(langs.values())} | {(100 + i, "src_text"): k for i, k in enumerate(words.values())}
 
 
+def test_lemma_in_many_pieces(spark):
+    lemma = spark.createDataFrame([(1, "qdq", "liikypyröwös", "g"), (2, "qdq", "motēhomūgo", "reed"), (3, "qdq", None, None)], "lemma_id int, lang_code string, headword string, gloss string")
+    words = {
+        "m o t ē h o m ū g o a tall kind of reed": "2", "Old Kabenokish l i i k y p y r ö w ö s Middle Mepirikese dialect": "1", "m o t ē h o m ū g o": "2", "li ik yp yr öw ös from somewhere else": "1",
+        "a b c d e f g h i j k": "", "liikypyröwös": "1", "": "",
+    }
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "src_text string")
+    got = {r.raw: r.key for r in canonical.lemma_matches(spark, df, lemma).collect()}
+    assert got == {w: k for w, k in words.items() if k}
+    assert canonical.lemma_matches(spark, df, lemma.limit(0)).count() == 0
+
+
 # -- 8 -------------------------------------------------------------------------------------------
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(6)
