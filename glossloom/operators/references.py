@@ -54,11 +54,13 @@ def orphans(
     hi: Column | str | None,
     block: int,
     carry: Sequence[str] = (),
+    refers: Sequence[int] | None = None,
 ) -> DataFrame:
     """The references for which no parent is in force at ``point``.
 
-    Returns ``record`` and the ``carry`` columns. A reference with a null key is no reference; one with a null ``point`` can match nothing and is an orphan. Repeated rows come out
-    once. An empty parent table makes every reference an orphan, an empty reference table gives no
+    Returns ``record`` and the ``carry`` columns. ``refers`` holds the places in ``keys`` of the columns that refer, by default
+    all. A row with a null among these is no reference; one with a null in another key or a null
+    ``point`` can match nothing and is an orphan. Repeated rows come out once. An empty parent table makes every reference an orphan, an empty reference table gives no
     rows. Other columns of either table are never touched, so their names cannot clash.
     """
     as_col = lambda x: F.col(x) if isinstance(x, str) else x
@@ -67,7 +69,7 @@ def orphans(
     r = refs.select(
         F.col(record).alias("_rec"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
         *[as_col(c).alias(a) for c, a in zip(keys, k)], as_col(point).cast("long").alias("_p"),
-    ).dropna(subset=k)
+    ).dropna(subset=k if refers is None else [k[i] for i in refers])
     last = r.agg(F.max("_p")).first()[0]
     last = 0 if last is None else last
     open_end = F.lit(None).cast("long") if hi is None else as_col(hi).cast("long")

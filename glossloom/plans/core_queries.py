@@ -29,7 +29,7 @@ def _reference_orphans(spark: SparkSession, d: str) -> DataFrame:
         month(table(spark, d, "stg_edge").where("src_wiktionary_id <> ''")), "edge_id",
         ["src_lang_code", "src_headword", "src_wiktionary_id"], micros("loaded_at"),
         table(spark, d, "stg_section_claim"), ["lang_code", "headword", "wiktionary_id"], micros("loaded_at"), micros("retired_at"),
-        references.TIME_BLOCK, ["_month"],
+        references.TIME_BLOCK, ["_month"], refers=[2],
     )
     named = lambda df, t, c: df.select(F.lit(t).alias("ref_table"), F.col(c).alias("record_id"), "_month")
     return named(terms, "stg_term", "occurrence_id").unionByName(named(edges, "stg_edge", "edge_id"))

@@ -1,5 +1,6 @@
 """The general problems' operators on small tables: nulls, empty tables, ties, repeats, clashing names."""
 
+import datetime
 import json
 import random
 import unicodedata
@@ -37,6 +38,21 @@ def test_orphans_random(spark):
     assert _orphans(spark, refs, parents) == want
 
 
+def test_references_with_null_companion_keys(spark, tmp_path):
+    day = lambda n: datetime.datetime(2026, 1, n)
+    terms = [(1, "la", day(5)), (2, None, day(5)), (3, "zz", day(5))]
+    edges = [(1, "la", "a", "x", day(5)), (2, None, "a", "x", day(5)), (3, "la", None, "x", day(5)), (4, None, None, "x", day(5)), (5, None, "a", None, day(5)), (6, "la", "a", "", day(5)), (7, "la", "a", "y", day(5)), (8, "la", "a", "x", None)]
+    claims = [("la", "a", "x", day(1), None), (None, "a", "x", day(1), None), ("la", None, "x", day(1), None), ("la", "a", None, day(1), None)]
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put(terms, "occurrence_id long, lang_code string, loaded_at timestamp", "stg_term")
+    put([("la", day(1), None)], "code string, added_at timestamp, retired_at timestamp", "language_record")
+    put(edges, "edge_id long, src_lang_code string, src_headword string, src_wiktionary_id string, loaded_at timestamp", "stg_edge")
+    put(claims, "lang_code string, headword string, wiktionary_id string, loaded_at timestamp, retired_at timestamp", "stg_section_claim")
+    want = [("stg_edge", i) for i in (2, 3, 4, 7, 8)] + [("stg_term", 3)]
+    assert sorted(tuple(r) for r in core_queries.p1_found(spark, str(tmp_path)).collect()) == want
+    assert {(r.ref_table, r.month): r.n_orphans for r in core_queries.p1_report(spark, str(tmp_path)).collect()} == {("stg_edge", "2026-01"): 4, ("stg_edge", None): 1, ("stg_term", "2026-01"): 1}
+
+
 def test_orphans_of_empty_tables(spark):
     assert _orphans(spark, [(1, "x", 5)], []) == [1]
     assert _orphans(spark, [], [("x", 1, 2)]) == []
