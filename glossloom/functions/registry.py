@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from glossloom.functions.text import RENAMED, SHORTHAND, code_map
 from glossloom.operators.hierarchy import hierarchy
+from glossloom.session import Scratch
 
 
 def code_dim(languages: DataFrame, varieties: DataFrame) -> DataFrame:
-    """``raw_key``, ``code``, ``variety_code``: all codes with the language they file under.
+    """``key``, ``code``, ``variety_code``: all codes with the language they file under.
 
-    A variety files under its parent language, through any number of parents that are varieties.
+    A variety files under its nearest language, through any number of parents that are varieties; one
+    that leads to no language, or only into a loop, has no row. Of equally near languages the least counts.
     """
-    own = languages.select(F.col("code").alias("key"), F.col("code").alias("code"), F.lit(None).cast("string").alias("variety_code"))
-    v = varieties.select(F.col("code").alias("key"), F.col("parent").alias("_up"), F.col("code").alias("variety_code")).distinct()
-    done, rest = own, v
-    for _ in range(4):  # a variety of a variety of a variety is as deep as they go
-        up = own.select(F.col("key").alias("_k"), "code")
-        done = done.unionByName(rest.join(up, F.col("_up") == F.col("_k")).select("key", "code", "variety_code"))
-        above = v.select(F.col("key").alias("_k2"), F.col("_up").alias("_up2"))
-        rest = rest.join(above, F.col("_up") == F.col("_k2")).select("key", F.col("_up2").alias("_up"), "variety_code")
-    return done.dropDuplicates(["key"])
+    scratch = Scratch(varieties.sparkSession)
+    own = languages.select(F.col("code").alias("key"), "code", F.lit(None).cast("string").alias("variety_code"), F.lit(0).alias("_level"))
+    v = varieties.where("code is not null and parent is not null").select(F.col("code").alias("key"), F.col("parent").alias("_up")).distinct()
+    above = v.select(F.col("key").alias("_k2"), F.col("_up").alias("_up2"))
+    last = seen = scratch.save(v.withColumn("_level", F.lit(1)))
+    while not last.isEmpty():
+        up = last.join(above, F.col("_up") == F.col("_k2")).select("key", F.col("_up2").alias("_up"), (F.col("_level") + 1).alias("_level")).distinct()
+        # A pair met before closes a loop.
+        last = scratch.save(up.join(seen.select("key", "_up"), ["key", "_up"], "left_anti").select("key", "_up", "_level"))
+        seen = seen.unionByName(last)
+    found = seen.join(own.select(F.col("key").alias("_k"), "code"), F.col("_up") == F.col("_k")).select("key", "code", F.col("key").alias("variety_code"), "_level")
+    nearest = own.unionByName(found).groupBy("key").agg(F.min(F.struct("_level", "code", "variety_code")).alias("_n"))
+    return nearest.select("key", "_n.code", "_n.variety_code")
 
 
 def canonical_code(raw: Column | str) -> Column:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from glossloom.functions import registry
 from glossloom.operators import hierarchy, merge, nested, references, skew, snapshots
 from glossloom.plans import core_queries, merge_queries
 
@@ -218,6 +219,16 @@ def test_nested_deep_and_dirty(spark):
     assert nested.tree_rows(df.limit(0)).count() == 0
 
 
+# -- codes ---------------------------------------------------------------------------------------
+def test_codes_of_deep_varieties(spark):
+    lang = spark.createDataFrame([("la",), ("fr",)], "code string")
+    rows = [("v1", "la"), *[(f"v{i}", f"v{i - 1}") for i in range(2, 9)], ("a", "b"), ("b", "a"), ("self", "self"), ("x", "unknown"), ("n", None), (None, "la"), ("near", "fr"), ("near", "v3"), ("under", "near")]
+    var = spark.createDataFrame(rows * 2, "code string, parent string")
+    got = sorted((tuple(r) for r in registry.code_dim(lang, var).collect()), key=lambda r: r[0])
+    assert got == sorted([("la", "la", None), ("fr", "fr", None), ("near", "fr", "near"), ("under", "fr", "under"), *[(f"v{i}", "la", f"v{i}") for i in range(1, 9)]], key=lambda r: r[0])
+    assert {tuple(r) for r in registry.code_dim(lang, var.limit(0)).collect()} == {("la", "la", None), ("fr", "fr", None)}
+
+
 # -- folding -------------------------------------------------------------------------------------
 def test_accent_fold_of_all_headwords(spark, tmp_path):
     want = {
