@@ -15,7 +15,7 @@ from glossloom.sources import dump
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="glossloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("filter", ["dump", "out"]), ("normalize", ["entries", "registry", "out"]), ("load", ["items", "registry", "graph", "date"]), ("crosscheck", ["items", "trees"])):
+    for name, args in (("filter", ["dump", "out"]), ("normalize", ["entries", "registry", "out"]), ("load", ["items", "registry", "graph", "date"]), ("crosscheck", ["items", "trees", "out"])):
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(a)
@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
         reg = [read(a.registry, f"{n}.parquet") for n in ("language_record", "variety")]
         print(publish.load(spark, a.graph, *items, *reg, datetime.date.fromisoformat(a.date), not a.skip_drift))
     else:
-        crosscheck.missing(crosscheck.tree_edges(read(a.trees)), read(a.items, "stg_edge")).show(30, False)
+        print("checked {:,} trees: {:,} edges, {:,} missing".format(*crosscheck.report(read(a.trees), read(a.items, "stg_edge"), a.out)))
     return 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossloom.functions.text import accent_folded, strip_star
 from glossloom.operators.nested import tree_rows
+from glossloom.session import Scratch
 
 
 def tree_edges(trees: DataFrame) -> DataFrame:
@@ -36,6 +37,19 @@ def missing(tree: DataFrame, edges: DataFrame) -> DataFrame:
     return t.join(have, cond, "left_anti").drop("_a", "_b")
 
 
+def report(trees: DataFrame, edges: DataFrame, out: str) -> tuple[int, int, int]:
+    """Write all missing links of ``trees`` to the table ``out``; the numbers of readable trees, their links and missing ones."""
+    scratch = Scratch(trees.sparkSession)
+    links = scratch.save(tree_edges(trees))
+    missing(links, edges).write.parquet(out)
+    whole = trees.where(F.trim("tree_json").startswith("{") & F.try_parse_json("tree_json").isNotNull()).select("tree_id")
+    # Trees too deep to be parsed there are known by their links.
+    n_trees = whole.unionByName(links.select("tree_id")).distinct().count()
+    counts = n_trees, links.count(), trees.sparkSession.read.parquet(out).count()
+    scratch.delete(scratch.path(links))
+    return counts
+
+
 def first_tree_words(entries: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` different words, in file order, whose etymology asks for a rendered tree."""
     asks = F.exists("etymology_templates", lambda t: t["name"].isin("etymon", "ety") & (F.try_element_at(t["args"], F.lit("tree")) == "1"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from glossloom import __main__ as cli
 from glossloom.functions import registry
 from glossloom.operators import hierarchy, merge, nested, references, skew, snapshots
 from glossloom.plans import core_queries, merge_queries
@@ -219,6 +220,18 @@ def test_nested_deep_and_dirty(spark):
     assert nested.tree_rows(df.limit(0)).count() == 0
 
 
+# -- crosscheck ----------------------------------------------------------------------------------
+def test_crosscheck_reports_every_missing_link(spark, tmp_path, capsys):
+    tree = lambda i: json.dumps({"lang": "fr", "term": f"w{i}", "children": [{"keyword": "inh", "terms": [{"lang": "la", "term": f"s{i}"}]}]})
+    rows = [(i, tree(i)) for i in range(40)] * 2 + [(50, '{"lang":"fr","term":"alone"}'), (51, "{broken"), (52, None), (53, "[]")]
+    spark.createDataFrame(rows, "tree_id long, tree_json string").write.parquet(f"{tmp_path}/trees")
+    edges = [("la", f"s{i}", "fr", f"w{i}") for i in range(3)]
+    spark.createDataFrame(edges, "src_lang_code string, src_headword string, dst_lang_code string, dst_headword string").write.parquet(f"{tmp_path}/items/stg_edge")
+    cli.main(["crosscheck", f"{tmp_path}/items", f"{tmp_path}/trees", f"{tmp_path}/out"])
+    assert {(r.tree_id, r.src_term, r.dst_term) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(i, f"s{i}", f"w{i}") for i in range(3, 40)}
+    assert "checked 41 trees: 40 edges, 37 missing" in capsys.readouterr().out
+
+
 # -- codes ---------------------------------------------------------------------------------------
 def test_codes_of_deep_varieties(spark):
     lang = spark.createDataFrame([("la",), ("fr",)], "code string")
