@@ -62,24 +62,30 @@ def _term(node: tuple[str, list], lang: str) -> tuple[str, str, list]:
     return lang, term or alt.strip(), [g for g in groups if g[0].startswith("ety:")][-1:]
 
 
-def chain_slots(text: str, lang: str) -> Iterator[tuple]:
-    """Every hop an inline chain states, as slots of :data:`SLOT`."""
+def _hops(text: str, lang: str) -> Iterator[tuple]:
+    """Every hop an inline chain states: its code, both ends and the piece's place where there are several."""
     stack = [(nested(text), lang)]
     while stack:
         node, inherited = stack.pop()
         own_lang, own, chains = _term(node, inherited)
         for head, groups in chains:
-            rel = _REL.get(head[4:].strip())
             kids = [g for g in groups if g[0].partition(":")[0] not in V.CHAIN_MODIFIERS]
             for i, kid in enumerate(kids, 1):
                 kid_lang, kid_term, _ = _term(kid, own_lang)
-                if rel and _named(own) and _named(kid_term):
-                    yield kid_lang, kid_term, own_lang, own, rel, i if len(kids) > 1 and rel in V.PIECEWISE else None, None
+                if _named(own) and _named(kid_term):
+                    yield head[4:].strip(), kid_lang, kid_term, own_lang, own, i if len(kids) > 1 else None
                 stack.append((kid, own_lang))
 
 
-def etymon_slots(args: dict[str, str], lang: str) -> list[tuple]:
-    """Slots of one etymon template; a null destination stands for the entry's own term."""
+def chain_slots(text: str, lang: str) -> Iterator[tuple]:
+    """Every hop an inline chain states by a known code, as slots of :data:`SLOT`."""
+    for code, *ends, piece in _hops(text, lang):
+        if rel := _REL.get(code):
+            yield *ends, rel, piece if rel in V.PIECEWISE else None, None
+
+
+def _groups(args: dict[str, str]) -> list[tuple[str, list[str]]]:
+    """Each relation code of an etymon template with the terms that follow it."""
     groups: list[tuple[str, list[str]]] = []
     i = 2
     while str(i) in args:
@@ -91,8 +97,13 @@ def etymon_slots(args: dict[str, str], lang: str) -> list[tuple]:
                 groups.append(("from", []))
             groups[-1][1].append(v)
         i += 1
+    return groups
+
+
+def etymon_slots(args: dict[str, str], lang: str) -> list[tuple]:
+    """Slots of one etymon template; a null destination stands for the entry's own term."""
     out: list[tuple] = []
-    for code, terms in groups:
+    for code, terms in _groups(args):
         rel = _REL.get(code)
         if rel is None:
             continue
@@ -105,6 +116,23 @@ def etymon_slots(args: dict[str, str], lang: str) -> list[tuple]:
     return out
 
 
+def unknown_codes(args: dict[str, str], lang: str) -> list[str]:
+    """``etymon:<code>`` for each use of an unknown code in one etymon template or a chain in any of its arguments."""
+    codes = [c for c, _ in _groups(args)] + [h[0] for v in args.values() if v and "<ety:" in v for h in _hops(v, lang)]
+    return [f"etymon:{c}" for c in codes if c not in _REL]
+
+
+def unknown_etymon_codes(args: Column, lang: Column) -> Column:
+    """:func:`unknown_codes` of an etymon template's arguments (a map) within an entry of a language."""
+
+    @F.pandas_udf("array<string>")
+    def codes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([[] if x is None else unknown_codes(json.loads(x), y) for x, y in zip(a, b)], dtype=object)
+
+    return codes(F.to_json(args), lang)
+
+
 def etymon(args: Column, lang: Column) -> Column:
     """Slots of an etymon template's arguments (a map) within an entry of a language."""
 

@@ -230,8 +230,13 @@ def section_claims(entries: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def unmapped_names(entries: DataFrame, limit: int | None = 30) -> DataFrame:
-    """Template names that have no meaning here and aren't known to have none, most frequent first."""
+    """Template names that have no meaning here and aren't known to have none, most frequent first.
+
+    A code without a meaning within an etymon template or its chains counts as ``etymon:<code>``, once per use.
+    """
     known = [*template_dim(), *V.names(V.IGNORED), ","]
-    t = entries_with_section(entries).where("not forms_only").select(F.explode("etymology_templates.name").alias("name"))
-    n = t.where(~F.col("name").isin(*known)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
+    e = entries_with_section(entries)
+    t = e.where("not forms_only").select(F.explode("etymology_templates.name").alias("name")).where(~F.col("name").isin(*known))
+    codes = _templates(e).where("family = 'etymon'").select(F.explode(chains.unknown_etymon_codes(F.col("args"), F.col("lang_code"))).alias("name"))
+    n = t.unionByName(codes).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
     return n.limit(limit) if limit else n

@@ -111,3 +111,10 @@ def test_nested_chains():
     assert [(x[1], x[5]) for x in two] == [("a", 1), ("b", 2)]
     deep = "x" + "".join(f"<ety:inh<t{i}" for i in range(3000)) + ">>" * 3000
     assert len(list(chains.chain_slots(deep, "en"))) == 3000
+
+
+def test_unmapped_codes_are_counted(spark, tmp_path):
+    e = entry("w", "en", ("etymon", {1: "en", 2: ":zz", 3: "la:a", 4: ":inh", 5: "enm:b<ety:yy<fro:c><la:d<ety:inh<la:f>>>>"}), ("ety", {1: "en", 2: ":zz<q>", "tree": "la:x<ety:xx<la:y>>"}), ("odd", {1: "z"}), ("bor", {1: "en", 2: "la", 3: "s"}))
+    (tmp_path / "d.jsonl").write_text(json.dumps(e))
+    got = [tuple(r) for r in N.unmapped_names(dump.read_entries(spark, f"{tmp_path}/d.jsonl")).collect()]
+    assert got == [("etymon:yy", 2), ("etymon:zz", 2), ("etymon:xx", 1), ("odd", 1)]
