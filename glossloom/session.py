@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -85,6 +86,25 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Ids of repeated rows that are sent to every task rather than shuffled with the texts they stand for.
+MOST_REPEATED = 500_000
+
+
+def rows_once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (the key and one wide column or more) with repeated rows once, by key, without shuffling all of it.
+
+    Only rows whose key stands in several rows are compared. Their keys are found by reading the key
+    column alone and sent to every task if there are at most :data:`MOST_REPEATED`, else all rows are shuffled. Keys are not null.
+    """
+    scratch = Scratch(df.sparkSession)
+    many = scratch.save(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key), n=F.count(F.lit(1)))
+    n = scratch.metric(many, "n")
+    if n == 0 or n > MOST_REPEATED:
+        return df if n == 0 else df.distinct()
+    small = F.broadcast(many)
+    return df.join(small, key, "left_anti").unionByName(df.join(small, key, "left_semi").distinct())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
