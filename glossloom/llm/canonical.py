@@ -9,6 +9,7 @@ few pairs left, and values without a pair come out of an anti-join.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 #: The largest edit budget of any entry.
 MOST = 4
-#: Words that make a language name more specific; a value may put them last or shorten them.
+#: Default lists for :func:`language_matches`: words that make a language name more specific, which a value
+#: may put last or shorten.
 QUALIFIERS = ("old", "middle", "proto")
 #: Words around a name that say nothing.
 FILLERS = ("from", "in", "the", "of", "lang", "language")
@@ -60,17 +62,18 @@ class Dialect:
         return f"translate({out}, '{FOLD_FROM}', '{FOLD_TO}')"
 
 
-def name_form(d: Dialect, col: str) -> str:
+def name_form(d: Dialect, col: str, qualifiers: Sequence[str] = QUALIFIERS, fillers: Sequence[str] = FILLERS) -> str:
     """A language name as entered, brought to 'qualifier name' in lower case; also used on the list."""
     out = d.fold(col)
-    for q in QUALIFIERS:  # shortened with a full stop, e.g. "o." or "midd."
+    for q in qualifiers:  # shortened with a full stop, e.g. "o." or "midd."
         heads = "|".join(q[:n] for n in range(len(q) - 1, 0, -1))
         out = d.sub(out, rf"(^|[ ,(])({heads})\. ?", f"$1{q} ")
     out = d.sub(out, r"[^a-z0-9]+", " ")
     out = f"trim({out})"
-    out = d.sub(out, rf"^(({'|'.join(FILLERS)}) )+", "")
-    out = d.sub(out, rf"( ({'|'.join(FILLERS)}))+$", "")
-    return d.sub(out, rf"^(.+) ({'|'.join(QUALIFIERS)})$", "$2 $1")
+    if fillers:
+        out = d.sub(out, rf"^(({'|'.join(fillers)}) )+", "")
+        out = d.sub(out, rf"( ({'|'.join(fillers)}))+$", "")
+    return d.sub(out, rf"^(.+) ({'|'.join(qualifiers)})$", "$2 $1") if qualifiers else out
 
 
 def lemma_form(d: Dialect, col: str) -> str:
@@ -171,24 +174,23 @@ def code_tokens(d: Dialect, col: str) -> str:
     return d.words(f"trim({d.sub(d.fold(col), r'[^a-z0-9-]+', ' ')})")
 
 
-def language_matches(spark: SparkSession, citations: DataFrame, languages: DataFrame) -> DataFrame:
+def language_matches(spark: SparkSession, citations: DataFrame, languages: DataFrame, qualifiers: Sequence[str] = QUALIFIERS, fillers: Sequence[str] = FILLERS) -> DataFrame:
     """``raw``, ``key`` (language code) of each distinct ``lang_text`` that means a language.
 
     A name, in full, shortened, reordered or misspelled, counts before a code in the same value; names
-    are compared whole, so the most specific name is the one met. Nulls and empty values match nothing.
+    are compared whole, so the most specific name is the one met. Codes go through the same join with
+    no edits allowed, that is with one segment, and are tried for what no name was found for. Nulls and
+    empty values match nothing.
     """
     d = Dialect()
+    form = lambda col: name_form(d, col, qualifiers, fillers)
     raw = citations.selectExpr("lang_text as raw")
     # A code in brackets or before a dash may stand beside the name.
     bare = d.sub("raw", r"[\[(][A-Za-z0-9-]+[\])] *$|^ *[A-Za-z0-9]+(-pro)? +- +", "")
-    by_name = map_values(
-        spark, raw, languages.selectExpr("code as key", "name"),
-        f"array({name_form(d, 'raw')}, {name_form(d, bare)})", "w", name_form(d, "name"), name_budget("{col}"),
-    )
-    values = raw.where("raw is not null").distinct()
-    tokens = values.selectExpr("raw", f"posexplode({code_tokens(d, 'raw')}) as (n, alias)")
-    by_code = tokens.join(language_codes(languages), "alias").groupBy("raw").agg({"code": "min"}).withColumnRenamed("min(code)", "key")
-    return by_name.select("raw", "key").unionByName(by_code.join(by_name.select("raw"), "raw", "left_anti").select("raw", "key"))
+    by_name = map_values(spark, raw, languages.selectExpr("code as key", "name"), f"array({form('raw')}, {form(bare)})", "w", form("name"), name_budget("{col}")).select("raw", "key")
+    left = raw.join(by_name.select(F.col("raw").alias("_known")), F.col("raw") == F.col("_known"), "left_anti")
+    by_code = map_values(spark, left, language_codes(languages).selectExpr("code as key", "alias as name"), code_tokens(d, "raw"), "w", "name", "0").select("raw", "key")
+    return by_name.unionByName(by_code)
 
 
 def lemma_matches(spark: SparkSession, citations: DataFrame, lemmas: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of the text problems 5, 7, 8, 9 and 10 over whole tables, with their SQL."""
+"""Queries of the text problems 5, 7, 8, 9 and 10 over whole tables; their SQL is in :mod:`glossloom.llm.oracles`."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossloom.llm import canonical, chunks, leaks, lookalikes, mixture
+from glossloom.llm.oracles import ORACLE
 from glossloom.session import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -60,65 +63,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts that had to be cut: those with a second piece."""
-    return chunks.pieces(table(spark, d, "documents")).where("piece_no = 1").select("doc_id").distinct()
+    return chunks.oversized(table(spark, d, "documents"))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunks.pieces(table(spark, d, "documents"))
 
 
+def p10_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Per text: checksum of its pieces put together again, gaps between them, pieces over the limit, whether it was cut."""
+    p = chunks.pieces(table(spark, d, "documents"))
+    own = F.struct("piece_no", "start_char", "end_char", "n_tokens", F.substring("text", F.col("start_char") - F.col("overlap_start") + 1, F.col("end_char") - F.col("start_char")).alias("t"))
+    one = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(own)).alias("p"))
+    gaps = F.filter("p", lambda x, i: x["start_char"] != F.when(i == 0, 0).otherwise(F.get("p", i - 1)["end_char"]))
+    over = F.filter("p", lambda x: x["n_tokens"] > chunks.LIMIT)
+    return one.select(
+        "doc_id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "").cast("binary")).alias("text_md5"), F.size(gaps).cast("bigint").alias("n_gaps"),
+        F.size(over).cast("bigint").alias("n_over_limit"), (F.size("p") > 1).alias("is_cut"),
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p5_found, p5_canonical, p7_found, p7_unmatched, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_pieces)
+    f.__name__: f for f in (p5_found, p5_canonical, p7_found, p7_unmatched, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_pieces, p10_round_trip)
 }
-
-# The look-alike table as two strings for translate(), full-width forms included.
-_FROM = "".join(lookalikes.SAME_SHAPE) + "".join(map(chr, range(0xFF01, 0xFF5F))) + "".join(h for h in lookalikes.HYPHENS if h != "－") + "    　"
-_TO = "".join(lookalikes.SAME_SHAPE.values()) + "".join(map(chr, range(0x21, 0x7F))) + "-" * (len(lookalikes.HYPHENS) - 1) + " " * 5
-_HIDDEN = "[­͏​-‏⁠-⁤﻿]"
-
-
-def _shown_sql(c: str) -> str:
-    sql = lambda s: s.replace("'", "''")
-    return f"trim(nfc_normalize(replace(translate(regexp_replace({c}, '{_HIDDEN}', '', 'g'), '{sql(_FROM)}', '{sql(_TO)}'), 'ﬁ', 'fi')))"
-
-
-def _p5_sql(field: str, tab: str, rec: str, text: str, group: str) -> str:
-    return f"""
-select '{field}' as rec_field, a.id as id_a, b.id as id_b
-from (select distinct {group} as g, {rec} as id, {text} as t, {_shown_sql(text)} as s from {tab} where {text} is not null and {group} is not null) a
-join (select distinct {group} as g, {rec} as id, {text} as t, {_shown_sql(text)} as s from {tab} where {text} is not null and {group} is not null) b
-on a.g = b.g and a.s = b.s and a.t <> b.t and a.id < b.id"""
-
-
-_P5 = _p5_sql("headword", "stg_term", "occurrence_id", "headword", "lang_code") + " union all " + _p5_sql("strip_marks", "language_record", "lang_id", "strip_marks", "''")
-
-_D = canonical.Dialect(spark=False)
-_BARE = _D.sub("raw", r"[\[(][A-Za-z0-9-]+[\])] *$|^ *[A-Za-z0-9]+(-pro)? +- +", "")
-#: Every value against every entry: no segments, no joins on them.
-_P7 = f"""
-with lang_val as (select distinct lang_text as raw from raw_citation where lang_text is not null),
-lang_form as (select raw, unnest([{canonical.name_form(_D, "raw")}, {canonical.name_form(_D, _BARE)}]) as v from lang_val),
-lang_ref as (select code as key, {canonical.name_form(_D, "name")} as r from language_record),
-lang_pair as (select raw, key, -length(r) as brief, levenshtein(v, r) as dist from lang_form, lang_ref where levenshtein(v, r) <= {canonical.name_budget("r")}),
-by_name as (select raw, arg_min(key, (dist, brief, key)) as key from lang_pair group by raw),
-code_ref as (select code, lower(unnest([code, iso639_1, iso639_2b, iso639_3] || coalesce(wikimedia_codes, []))) as alias from language_record),
-by_code as (select raw, min(code) as key from (select raw, unnest({canonical.code_tokens(_D, "raw")}) as alias from lang_val) join code_ref using (alias) group by raw),
-word_val as (select distinct src_text as raw, {_D.words(canonical.lemma_form(_D, "src_text"))} as w from raw_citation where src_text is not null),
-word_form as (select raw, array_to_string(w[i:j], '') as v from (select raw, w, i, unnest(range(i, len(w) + 1)) as j from (select raw, w, unnest(range(1, len(w) + 1)) as i from word_val))
-  where j - i < 4 or j = len(w)),
-word_ref as (select cast(lemma_id as varchar) as key, replace({canonical.lemma_form(_D, "headword")}, ' ', '') as r from lemma_ref),
-word_pair as (select raw, key, -length(r) as brief, levenshtein(v, r) as dist from word_form, word_ref where levenshtein(v, r) <= {canonical.budget("r")}),
-by_word as (select raw, arg_min(key, (dist, brief, key)) as key from word_pair group by raw)
-select distinct citation_id, 'lang_text' as raw_field, coalesce(n.key, c.key, '') as matched_key
-from raw_citation r left join by_name n on n.raw = r.lang_text left join by_code c on c.raw = r.lang_text where lang_text is not null
-union all
-select distinct citation_id, 'src_text', coalesce(w.key, '') from raw_citation r left join by_word w on w.raw = r.src_text where src_text is not null"""
-
-_P8 = """
-with w as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_item),
-win as (select item_id, i, array_to_string(w[i:i + 11], ' ') as t from (select item_id, w, unnest(range(1, len(w) - 10)) as i from w)),
-d as (select distinct doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
-run as (select distinct doc_id, array_to_string(w[i:i + 11], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d))
-select distinct doc_id, item_id from run join win using (t)"""
-
-ORACLE: dict[str, str] = {"p5_found": _P5, "p7_found": _P7, "p8_found": _P8}
