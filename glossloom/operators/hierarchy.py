@@ -26,7 +26,7 @@ from glossloom.session import Scratch
 #: Blocks into which the children of one parent are split for the running sum of subtree sizes.
 SIBLING_BLOCKS = 256
 #: Positions per block of a tree's order, by which intervals meet the nodes in them.
-POSITION_BLOCK = 128
+POSITION_BLOCK = 32
 
 
 def _double(scratch: Scratch, state: DataFrame, add: dict[str, str]) -> DataFrame:
@@ -58,7 +58,7 @@ def _numbered(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def _sizes(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """``id``, ``size`` of the subtree, ``looped`` for nodes that lead into a cycle.
+    """``id``, ``size`` of the subtree, ``looped`` for nodes that lead into a cycle, ``on_loop`` for those on it.
 
     After round k a node knows its ancestor 2^k above, or that there is none, and the number of nodes
     fewer than 2^k levels below it. When no node with a root lies just 2^k - 1 links deep, whatever
@@ -79,7 +79,27 @@ def _sizes(scratch: Scratch, nodes: DataFrame) -> DataFrame:
         nxt = nxt.join(below, F.col("id") == F.col("_under"), "left").select("id", "jump", "dist", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
         st = scratch.save(nxt, [scratch.path(st)], **seen)
         reach *= 2
-    return st.select("id", "size", F.col("jump").isNotNull().alias("looped"))
+    looped = F.col("jump").isNotNull().alias("looped")
+    if n_open == 0:
+        return st.select("id", "size", looped, F.lit(False).alias("on_loop"))
+    on = _on_loops(scratch, st.where("jump is not null").select("id", "jump")).withColumnRenamed("id", "_on")
+    return st.join(on, F.col("id") == F.col("_on"), "left").select("id", "size", looped, F.col("_on").isNotNull().alias("on_loop"))
+
+
+def _on_loops(scratch: Scratch, pointers: DataFrame) -> DataFrame:
+    """``id`` of the nodes on cycles, given those that lead into one with a pointer some links ahead.
+
+    What is pointed at shrinks towards the cycles as the pointers double; once it no longer does, the
+    pointers only permute it, so all of it lies on cycles.
+    """
+    met = scratch.save(pointers.select(F.col("jump").alias("id")).distinct(), n=F.count(F.lit(1)))
+    while True:
+        ahead = pointers.select(F.col("id").alias("_id"), F.col("jump").alias("_jump"))
+        pointers = scratch.save(pointers.join(ahead, F.col("jump") == F.col("_id")).select("id", F.col("_jump").alias("jump")))
+        nxt = scratch.save(pointers.select(F.col("jump").alias("id")).distinct(), n=F.count(F.lit(1)))
+        if scratch.metric(nxt, "n") == scratch.metric(met, "n"):
+            return nxt
+        met = nxt
 
 
 def _light_offsets(kids: DataFrame) -> DataFrame:
@@ -101,7 +121,7 @@ def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = True) -> Data
     tree of its root) and, with ``paths``, ``path`` (node names from the root down). A node with several
     parents takes the least; a parent that is null or not itself a node counts as none; rows with a
     null tree or node are left out; repeated rows count once. A node on a loop or below one has root
-    '', depth -1 and null in the other columns. An empty table gives no rows.
+    '', depth -1 and null in the other columns; ``on_loop`` tells the two apart. An empty table gives no rows.
     """
     scratch = Scratch(spark)
     nodes = _numbered(scratch, links.select("tree", "node", "parent"))
@@ -138,10 +158,10 @@ def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = True) -> Data
     good = placed.select(
         "tree", "node", "root", (F.col("_d") + F.col("pos")).cast("int").alias("depth"), (F.col("size") - 1).alias("n_descendants"),
         (F.col("_f") + F.col("pos")).alias("first_pos"), (F.col("_f") + F.col("pos") + F.col("size") - 1).alias("last_pos"),
-        F.concat("above", "seg").alias("path"),
+        F.concat("above", "seg").alias("path"), F.lit(False).alias("on_loop"),
     )
     none = F.lit(None).cast("long")
-    bad = sized.where("looped").select("tree", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.alias("n_descendants"), none.alias("first_pos"), none.alias("last_pos"), F.lit(None).cast("array<string>").alias("path"))
+    bad = sized.where("looped").select("tree", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.alias("n_descendants"), none.alias("first_pos"), none.alias("last_pos"), F.lit(None).cast("array<string>").alias("path"), "on_loop")
     out = good.unionByName(bad)
     return out if paths else out.drop("path")
 

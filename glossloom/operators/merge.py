@@ -163,23 +163,55 @@ def numbered(spark: SparkSession, df: DataFrame, keys: list[str], name: str) ->
     return j.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long")).select(name, *df.columns)
 
 
-def graph(spark: SparkSession, terms: DataFrame, edges: DataFrame, claims: DataFrame, languages: DataFrame) -> dict[str, DataFrame]:
-    """``term``, ``sense``, ``edge`` and ``pickable_term`` of the graph, with ids."""
+def terms_numbered(spark: SparkSession, terms: DataFrame, languages: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """``term_id``, ``lang_code``, ``headword``, ``is_reconstructed`` of the terms of known languages that no alias replaces."""
     keys = term_keys(terms)
-    alias = aliases(keys)
+    alias = aliases(keys) if alias is None else alias
     gone = alias.select(F.col("lang_code").alias("_l"), F.col("from_headword").alias("_h"))
     lang = languages.select("code").distinct()
     kept = keys.join(lang, F.col("lang_code") == F.col("code"), "left_semi").join(gone, (F.col("lang_code") == F.col("_l")) & (F.col("headword") == F.col("_h")), "left_anti")
-    scratch = Scratch(spark)
-    term = scratch.save(numbered(spark, kept.select("lang_code", "headword", "is_reconstructed"), ["lang_code", "headword"], "term_id"))
-    ids = term.select("term_id", F.col("lang_code").alias("_l"), F.col("headword").alias("_h"))
+    return numbered(spark, kept.select("lang_code", "headword", "is_reconstructed"), ["lang_code", "headword"], "term_id")
+
+
+def _ids(term: DataFrame) -> DataFrame:
+    return term.select("term_id", F.col("lang_code").alias("_l"), F.col("headword").alias("_h"))
+
+
+def senses_of(terms: DataFrame, term: DataFrame) -> DataFrame:
+    """The different senses of numbered terms; nulls are equal."""
     real = terms.where("has_sense").select("lang_code", "headword", "section", "part_of_speech", "gloss").distinct()
-    sense = scratch.save(real.join(ids, (F.col("lang_code") == F.col("_l")) & (F.col("headword") == F.col("_h"))).select("term_id", "section", "part_of_speech", "gloss"))
-    e = merged_edges(edges, claims, alias, languages)
+    return real.join(_ids(term), (F.col("lang_code") == F.col("_l")) & (F.col("headword") == F.col("_h"))).select("term_id", "section", "part_of_speech", "gloss")
+
+
+def edges_of(merged: DataFrame, term: DataFrame, variety: DataFrame) -> DataFrame:
+    """Merged edges with the ids of their ends and of their source's variety, null where it has none that is known."""
+    e = merged
     for end in ("src", "dst"):
-        i = ids.withColumnRenamed("term_id", f"{end}_term_id")
+        i = _ids(term).withColumnRenamed("term_id", f"{end}_term_id")
         e = e.join(i, (F.col(f"{end}_lang_code") == F.col("_l")) & (F.col(f"{end}_headword") == F.col("_h"))).drop("_l", "_h")
-    edge = scratch.save(e.select("src_term_id", "src_section", "dst_term_id", "dst_section", "rel_type", "src_variety_code", "anchor", "piece_order"))
+    v = variety.select(F.col("variety_id").alias("src_variety_id"), F.col("code").alias("_v"))
+    e = e.join(v, F.col("src_variety_code") == F.col("_v"), "left")
+    return e.select("src_term_id", "src_section", "dst_term_id", "dst_section", "rel_type", "src_variety_id", "src_variety_code", "anchor", "piece_order")
+
+
+def varieties_numbered(spark: SparkSession, varieties: DataFrame) -> DataFrame:
+    """``variety_id``, ``code``, ``name``, ``lang_code`` of each variety; of several rows of a code the least counts."""
+    one = varieties.where("code is not null").groupBy("code").agg(F.min(F.struct("name", F.col("parent").alias("lang_code"))).alias("_x"))
+    return numbered(spark, one.select("code", "_x.name", "_x.lang_code"), ["code"], "variety_id")
+
+
+def pickable(term: DataFrame, sense: DataFrame, edge: DataFrame) -> DataFrame:
+    """Terms with a sense that are an end of some edge other than a mention."""
     ends = edge.where("rel_type <> 'mention'").select(F.explode(F.array("src_term_id", "dst_term_id")).alias("term_id")).distinct()
-    pick = term.join(sense.select("term_id").distinct(), "term_id", "left_semi").join(ends, "term_id", "left_semi").select("term_id", "lang_code")
-    return {"term": term, "sense": sense, "edge": edge, "pickable_term": pick}
+    return term.join(sense.select("term_id").distinct(), "term_id", "left_semi").join(ends, "term_id", "left_semi")
+
+
+def graph(spark: SparkSession, terms: DataFrame, edges: DataFrame, claims: DataFrame, languages: DataFrame, varieties: DataFrame) -> dict[str, DataFrame]:
+    """``term``, ``sense``, ``edge``, ``variety`` and ``pickable_term`` of the graph, with ids."""
+    scratch = Scratch(spark)
+    alias = scratch.save(aliases(term_keys(terms)))
+    term = scratch.save(terms_numbered(spark, terms, languages, alias))
+    sense = scratch.save(senses_of(terms, term))
+    variety = scratch.save(varieties_numbered(spark, varieties))
+    edge = scratch.save(edges_of(merged_edges(edges, claims, alias, languages), term, variety))
+    return {"term": term, "sense": sense, "edge": edge, "variety": variety, "pickable_term": pickable(term, sense, edge).select("term_id", "lang_code")}

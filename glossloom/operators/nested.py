@@ -4,7 +4,8 @@ A block of texts is treated as one byte array. Bitmaps of quotes (less escaped o
 delimiters are built over it, prefix sums give string interiors and nesting depth, and sorting the
 structural bytes by text and depth puts each container's members next to each other. Grammar,
 member names, values and array positions are then read off by comparing neighbours; no text is walked
-byte by byte and depth is limited by nothing but the text.
+byte by byte and depth is limited by nothing but the text. :func:`records` takes JSON of any shape to
+linked tables; :func:`tree_rows` reads the trees of this project.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossloom.session import rows_once
+
 #: Bytes of text indexed at once; bounds the memory of the bitmaps. A longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -256,7 +260,12 @@ def flatten(ids: list[int], texts: list[bytes]) -> dict[str, list]:
     return rows
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    return df.selectExpr(f"cast(`{record_id}` as bigint) as tree_id", f"`{text}` as tree_json").where("tree_id is not null and tree_json is not null")
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts in blocks of about :data:`BLOCK_BYTES`."""
     for pdf in batches:
         ids: list[int] = []
         texts: list[bytes] = []
@@ -264,13 +273,20 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, s in zip(pdf["tree_id"].tolist(), pdf["tree_json"].tolist()):
             raw = s.encode("utf-8", "surrogatepass")
             if texts and size + len(raw) > BLOCK_BYTES:
-                yield pd.DataFrame(flatten(ids, texts), columns=SCHEMA.names)
+                yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(i)
             texts.append(raw)
             size += len(raw)
         if texts:
-            yield pd.DataFrame(flatten(ids, texts), columns=SCHEMA.names)
+            yield ids, texts
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, texts in _packed(batches):
+        rows = flatten(ids, texts)
+        if rows["tree_id"]:  # a frame without rows has no types
+            yield pd.DataFrame(rows, columns=SCHEMA.names)
 
 
 def tree_rows(trees: DataFrame, tree_id: str = "tree_id", tree_json: str = "tree_json") -> DataFrame:
@@ -282,5 +298,85 @@ def tree_rows(trees: DataFrame, tree_id: str = "tree_id", tree_json: str = "tree
     object give ''. Repeated rows count once; an id with two different texts
     gives the rows of both.
     """
-    t = trees.selectExpr(f"cast(`{tree_id}` as bigint) as tree_id", f"`{tree_json}` as tree_json").where("tree_id is not null and tree_json is not null")
-    return t.distinct().mapInPandas(_blocks, SCHEMA)
+    return rows_once(_texts(trees, tree_id, tree_json), "tree_id").mapInPandas(_blocks, SCHEMA)
+
+
+# -- records of any shape -----------------------------------------------------------------------
+
+RECORDS = T.StructType(
+    [T.StructField("record_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("table_name", "node_path", "parent_path")], T.StructField("position", T.IntegerType()), T.StructField("members", T.MapType(T.StringType(), T.StringType()))]
+)
+#: Member names up to which :func:`related_tables` makes columns of them by itself.
+MOST_NAMES = 10_000
+
+
+def record_rows(ids: list[int], texts: list[bytes]) -> Iterator[tuple]:
+    """Rows of :data:`RECORDS` for a block of texts, parents before their children."""
+    ix = Index(texts)
+    order = np.argsort(ix.member_box, kind="stable")
+    box, key, value = ix.member_box[order], ix.member_key[order].tolist(), ix.member_value[order].tolist()
+    begin = np.searchsorted(box, np.arange(len(ix.start) + 1)).tolist()
+    byte, size, offset, element = ix.byte.tolist(), ix.size.tolist(), ix.offset.tolist(), ix.element.tolist()
+    names: dict[bytes, str] = {}
+    for d in np.flatnonzero(ix.ok).tolist():
+        waiting: list[tuple[int, str, str, str, int | None]] = [(int(ix.root[d]), "", "$", "", None)]
+        while waiting:
+            at, table, path, up, position = waiting.pop()
+            if byte[at] == 91:  # an array in an array
+                waiting += [(element[offset[at] + i], table, f"{path}[{i}]", up, i) for i in reversed(range(size[at]))]
+                continue
+            if byte[at] != 123:  # a value in an array
+                yield ids[d], table, path, up, position, {"": ix.text(at)}
+                continue
+            said: dict[str, int] = {}
+            for m in range(begin[at], begin[at + 1]):
+                raw = ix.buf[ix.start[key[m]] : ix.end[key[m]]]
+                if raw not in names:
+                    names[raw] = ix.text(key[m])
+                said[names[raw]] = value[m]
+            members, below = {}, []
+            for name, v in said.items():
+                if byte[v] == 123:
+                    below.append((v, name, f"{path}.{name}", path, None))
+                elif byte[v] == 91:
+                    below += [(element[offset[v] + i], name, f"{path}.{name}[{i}]", path, i) for i in range(size[v])]
+                else:
+                    members[name] = ix.text(v)
+            yield ids[d], table, path, up, position, members
+            waiting += reversed(below)
+
+
+def _record_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, texts in _packed(batches):
+        rows = list(record_rows(ids, texts))
+        for k in range(0, len(rows), 50_000):
+            yield pd.DataFrame(rows[k : k + 50_000], columns=RECORDS.names)
+
+
+def records(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """Every object of JSON texts of any shape as one flat row that keeps the link to its parent.
+
+    Returns ``record_id``, ``table_name`` (the member the object or its array is the value of, '' at the
+    top), ``node_path`` (as in ``$.children[0].terms[1]``), ``parent_path``, ``position`` in its array
+    (null elsewhere) and ``members``, its plain values by name, as text. A plain value in an array is
+    a row with one member ''. Of repeated members the last counts; nulls stay as null values. Texts that
+    are null, unreadable or no JSON object give no rows, as does a null id; repeated rows count once.
+    """
+    return rows_once(_texts(df, record_id, text), "tree_id").mapInPandas(_record_batches, RECORDS)
+
+
+def related_tables(rows: DataFrame, columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """:func:`records` as one flat table per ``table_name`` with a column per member.
+
+    A table's parent rows are those with its ``record_id`` and ``parent_path`` as ``node_path``. Without
+    ``columns`` the member names found are used, and refused beyond :data:`MOST_NAMES`; a member named
+    like a link column gets an underscore behind it, and one without a name is ``value``.
+    """
+    if columns is None:
+        found = rows.select("table_name", F.explode_outer(F.map_keys("members")).alias("m")).distinct().limit(MOST_NAMES + 1).collect()
+        if len(found) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} members; name the columns")
+        columns = {t: sorted(r["m"] for r in found if r["table_name"] == t and r["m"] is not None) for t in sorted({r["table_name"] for r in found})}
+    links = ["record_id", "node_path", "parent_path", "position"]
+    called = lambda m: f"{m}_" if m in links else m or "value"
+    return {t: rows.where(F.col("table_name") == t).select(*links, *[F.try_element_at("members", F.lit(m)).alias(called(m)) for m in names]) for t, names in columns.items()}

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import datetime
-import os
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossloom.operators import merge as M
+from glossloom.operators import walk
+from glossloom.sources import files
 
 #: Greatest share of edges with an end in an unknown language, and greatest change in size.
 UNKNOWN_SHARE, DRIFT = 0.001, 0.10
 TABLES = ("term", "sense", "edge", "pickable_term", "language", "variety", "dataset")
-REL_TYPES = 21
+#: Edge tables for walks, and whether they lead down.
+WALKED = {"edge_by_src": True, "edge_by_dst": False}
+#: After so many hours a lock counts as left behind.
+LOCK_HOURS = 24
 
 
 class GateError(ValueError):
@@ -25,19 +30,20 @@ class GateError(ValueError):
 
 
 @contextmanager
-def single_writer(base: str) -> Iterator[None]:
-    """At most one load at a time: a lock file made exclusively, failing at once if there is one."""
-    os.makedirs(base, exist_ok=True)
-    path = os.path.join(base, "_lock")
-    try:
-        fd = os.open(path, os.O_CREAT | os.O_EXCL)
-    except FileExistsError:
-        raise GateError(f"another load holds {path}") from None
+def single_writer(spark: SparkSession, base: str) -> Iterator[None]:
+    """At most one load at a time: a lock file made exclusively, failing at once if there is one.
+
+    A lock older than :data:`LOCK_HOURS` is that of a load that died, and is taken over.
+    """
+    path = f"{base}/_lock"
+    if files.exists(spark, path) and time.time() - files.modified(spark, path) / 1000 > LOCK_HOURS * 3600:
+        files.delete(spark, path)
+    if not files.create(spark, path, uuid.uuid4().hex):
+        raise GateError(f"another load holds {path}")
     try:
         yield
     finally:
-        os.close(fd)
-        os.unlink(path)
+        files.delete(spark, path)
 
 
 def check_languages(n_edges: int, n_unknown: int) -> None:
@@ -62,22 +68,16 @@ def check_graph(tables: dict[str, DataFrame]) -> None:
         raise GateError("there must be one data set")
 
 
-def live_generation(base: str) -> str | None:
-    pointer = os.path.join(base, "_live")
-    if not os.path.exists(pointer):
-        return None
-    with open(pointer) as f:
-        return os.path.join(base, f.read().strip())
+def live_generation(spark: SparkSession, base: str) -> str | None:
+    pointer = f"{base}/_live"
+    return f"{base}/{files.read(spark, pointer).strip()}" if files.exists(spark, pointer) else None
 
 
-def swap(base: str, generation: str, attempts: int = 3, waits: tuple[float, ...] = (5, 15)) -> None:
+def swap(spark: SparkSession, base: str, generation: str, attempts: int = 3, waits: tuple[float, ...] = (5, 15)) -> None:
     """Make a generation live by replacing the pointer in one step."""
     for n in range(attempts):
         try:
-            tmp = os.path.join(base, f"_live.{uuid.uuid4().hex}")
-            with open(tmp, "w") as f:
-                f.write(os.path.basename(generation))
-            os.replace(tmp, os.path.join(base, "_live"))
+            files.replace(spark, f"{base}/_live", generation.rsplit("/", 1)[1])
             return
         except OSError:
             if n + 1 == attempts:
@@ -87,10 +87,10 @@ def swap(base: str, generation: str, attempts: int = 3, waits: tuple[float, ...]
 
 def open_graph(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """The live generation's tables, also as temporary views."""
-    at = live_generation(base)
+    at = live_generation(spark, base)
     if at is None:
         raise GateError(f"nothing is live in {base}")
-    out = {t: spark.read.parquet(os.path.join(at, t)) for t in TABLES}
+    out = {t: spark.read.parquet(f"{at}/{t}") for t in (*TABLES, *WALKED)}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out
@@ -101,32 +101,46 @@ def load(
 ) -> str:
     """Merge staged items into a new generation, check it and make it live; a failure leaves the live one.
 
-    Edges are kept twice, sorted by source and by destination, so a walk in either direction skips
-    what it doesn't need by the files' statistics.
+    Edges are also kept directed, in blocks by either end, so a walk in either direction reads only what it
+    needs. Statistics of the tables are kept beside them for :func:`statistics`.
     """
-    with single_writer(base):
+    with single_writer(spark, base):
         counts = M.unknown_language_share(edges, languages).first()
         if not counts["n_edges"] and not terms.limit(1).count():
             raise GateError("there is nothing to load")
         check_languages(counts["n_edges"], counts["n_unknown"])
-        tables = M.graph(spark, terms, edges, claims, languages)
-        lang = languages.where("code is not null").dropDuplicates(["code"])
-        tables["language"] = M.numbered(spark, lang.select("code", "name", "kind"), ["code"], "language_id")
-        tables["variety"] = varieties.select("code", "name", F.col("parent").alias("lang_code")).distinct()
+        tables = M.graph(spark, terms, edges, claims, languages, varieties)
+        lang = languages.where("code is not null").groupBy("code").agg(F.min(F.struct("name", "kind")).alias("x")).select("code", "x.*")
+        tables["language"] = M.numbered(spark, lang, ["code"], "language_id")
         tables["dataset"] = spark.createDataFrame([(dump_date,)], "dump_date date")
         check_graph(tables)
-        at = live_generation(base)
+        at = live_generation(spark, base)
         if drift and at:
             for name in ("term", "edge"):
-                check_drift(name, tables[name].count(), spark.read.parquet(os.path.join(at, name)).count())
-        generation = os.path.join(base, f"gen-{dump_date.isoformat()}-{uuid.uuid4().hex[:8]}")
+                check_drift(name, tables[name].count(), spark.read.parquet(f"{at}/{name}").count())
+        generation = f"{base}/gen-{dump_date.isoformat()}-{uuid.uuid4().hex[:8]}"
         for name in TABLES:
             df = tables[name]
             if name == "edge":
-                df.repartitionByRange("dst_term_id").sortWithinPartitions("dst_term_id").write.parquet(os.path.join(generation, "edge_by_dst"))
-                df = df.repartitionByRange("src_term_id").sortWithinPartitions("src_term_id")
+                df = df.repartitionByRange("src_term_id", "dst_term_id").sortWithinPartitions("src_term_id")
             elif name == "term":
                 df = df.repartitionByRange("lang_code", "headword").sortWithinPartitions("lang_code", "headword")
-            df.write.parquet(os.path.join(generation, name))
-        swap(base, generation)
+            elif name == "sense":
+                df = df.repartitionByRange("term_id", "section").sortWithinPartitions("term_id")
+            df.write.parquet(f"{generation}/{name}")
+        for name, down in WALKED.items():
+            walk.write_directed(tables["edge"], tables["sense"], down, f"{generation}/{name}")
+        statistics(spark, generation).coalesce(1).write.parquet(f"{generation}/_statistics")
+        swap(spark, base, generation)
         return generation
+
+
+def statistics(spark: SparkSession, generation: str) -> DataFrame:
+    """Per table and column: rows, nulls, approximate number of different values, least and greatest value as text."""
+    out = []
+    for name in TABLES:
+        df = spark.read.parquet(f"{generation}/{name}")
+        per = [F.struct(F.lit(c).alias("column_name"), (F.count(F.lit(1)) - F.count(c)).alias("n_nulls"), F.approx_count_distinct(c).alias("n_different"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")) for c in df.columns]
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*per).alias("x"))
+        out.append(one.select(F.lit(name).alias("table_name"), "n_rows", F.inline("x")))
+    return reduce(DataFrame.unionByName, out)

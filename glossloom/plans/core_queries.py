@@ -80,14 +80,13 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     return h.select(F.col("tree").alias("tree_name"), "node", F.array_join("path", " > ").alias("path"), "n_descendants")
 
 
-def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each language set with every set below it, read off the chain intervals; :func:`p3_all_descendants` has all trees."""
-    links = tree_links(spark, d).where("tree = 'language_set'")
-    h = H.hierarchy(spark, links, paths=False)
-    return H.descendants(h, links).select(F.col("node").alias("ancestor"), "descendant", F.col("steps").cast("int").alias("steps"))
+def p3_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes without a root: those on a loop and those only below one."""
+    h = H.hierarchy(spark, tree_links(spark, d), paths=False).where("depth < 0")
+    return h.select(F.col("tree").alias("tree_name"), "node", "on_loop")
 
 
-def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each node of every tree with every node below it, read off the chain intervals."""
     links = tree_links(spark, d)
     scratch = Scratch(spark)
@@ -112,9 +111,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.tree_rows(table(spark, d, "ety_tree"))
 
 
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every plain member of every object of a tree, whatever its name, with the link to its parent object."""
+    r = nested.records(table(spark, d, "ety_tree"), "tree_id", "tree_json")
+    return r.select(F.col("record_id").alias("tree_id"), "table_name", "node_path", "parent_path", F.explode("members").alias("member", "value"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_snapshot_orphans, p2_found, p2_summary, p3_found, p3_paths, p3_descendants, p3_all_descendants, p4_found, p4_profile, p6_found)
+    for f in (p1_found, p1_report, p1_snapshot_orphans, p2_found, p2_summary, p3_found, p3_paths, p3_descendants, p3_loops, p4_found, p4_profile, p6_found, p6_members)
 }
 
 _P1 = """
@@ -179,12 +184,13 @@ r as (select *, count(*) over (partition by src_lang_code, src_headword, rel_typ
   row_number() over (partition by src_lang_code, src_headword, rel_type order by loaded_at desc, edge_id desc) k from e)
 select src_lang_code, src_headword, rel_type, edge_id from r where n >= 20 and k <= 3"""
 _P4_PROFILE = """
-with f as (select src_lang_code, src_headword, rel_type, dst_lang_code v, count(*) n from stg_edge group by all),
+with nulls as (select src_lang_code, src_headword, rel_type, count(*) as n_rows, count(*) filter (dst_lang_code is null) as n_null from stg_edge group by all),
+f as (select src_lang_code, src_headword, rel_type, dst_lang_code v, count(*) n from stg_edge group by all),
 w as (select *, sum(n) over (partition by src_lang_code, src_headword, rel_type order by v) run,
-  sum(n) over (partition by src_lang_code, src_headword, rel_type) al from f where v is not null)
-select src_lang_code, src_headword, rel_type, cast(sum(n) as bigint) as n_rows, cast(0 as bigint) as n_null, count(*) as n_distinct,
-  arg_min(v, (-n, v)) as mode_value, min(case when run >= ceil(0.5 * al) then v end) as percentile_value
-from w group by all"""
+  sum(n) over (partition by src_lang_code, src_headword, rel_type) al from f where v is not null),
+r as (select src_lang_code, src_headword, rel_type, count(*) as n_distinct, arg_min(v, (-n, v)) as mode_value, min(case when run >= ceil(0.5 * al) then v end) as percentile_value from w group by all)
+select n.*, coalesce(n_distinct, 0) as n_distinct, mode_value, percentile_value from nulls n left join r
+  on n.src_lang_code is not distinct from r.src_lang_code and n.src_headword is not distinct from r.src_headword and n.rel_type is not distinct from r.rel_type"""
 _P6 = """
 with recursive t as (
   select distinct tree_id, tree_json from ety_tree where tree_json is not null and json_valid(tree_json) and json_type(tree_json) = 'OBJECT'
@@ -201,6 +207,13 @@ with recursive t as (
 select tree_id, node_path, parent_path, coalesce(json_extract_string(rel, '$.keyword'), '') as keyword, coalesce(json_extract_string(j, '$.lang'), '') as lang,
   coalesce(nullif(json_extract_string(j, '$.term'), ''), json_extract_string(j, '$.alt'), '') as term
 from walk where lvl > 0"""
+# The parent object of a value in an array, or in an array in an array, is above the brackets.
+_P6_MEMBERS = r"""
+with t as (select distinct tree_id, tree_json from ety_tree where tree_json is not null and json_valid(tree_json) and json_type(tree_json) = 'OBJECT'),
+n as (select tree_id, x.key, x.atom, x.type, x.path, x.fullkey from t, json_tree(tree_json) x),
+plain as (select tree_id, case when ends_with(fullkey, ']') then '' else key end as member, atom, case when ends_with(fullkey, ']') then fullkey else path end as node_path from n where type not in ('OBJECT', 'ARRAY'))
+select tree_id, case when node_path = '$' then '' else regexp_extract(regexp_replace(node_path, '(\[[0-9]+\])+$', ''), '[^.]*$') end as table_name, node_path,
+  case when node_path = '$' then '' else regexp_replace(node_path, '\.[^.]*$', '') end as parent_path, member, json_extract_string(atom, '$') as value from plain"""
 
 ORACLE: dict[str, str] = {
     "p1_found": f"select distinct ref_table, record_id from ({_P1})",
@@ -216,11 +229,12 @@ where term is not null and not exists (select 1 from term_snapshot t where t.dum
 select l.tree_name, l.node, w.path, case when w.path is not null then n end as n_descendants
 from links l left join walk w on l.tree_name = w.tree_name and l.node = w.node
 left join (select tree_name, anc, count(*) - 1 as n from up group by all) c on c.tree_name = l.tree_name and c.anc = l.node""",
-    "p3_descendants": f"""with recursive {_LINKS}{_UP}
-select anc as ancestor, des as descendant, steps from up join walk w on w.tree_name = up.tree_name and w.node = up.anc
-where up.tree_name = 'language_set' and steps > 0""",
-    "p3_all_descendants": _P3_ALL,
+    "p3_loops": f"""with recursive {_LINKS}{_UP}
+select l.tree_name, l.node, exists (select 1 from up u where u.tree_name = l.tree_name and u.des = l.node and u.anc = l.node and u.steps > 0) as on_loop
+from links l left join walk w on w.tree_name = l.tree_name and w.node = l.node where w.node is null""",
+    "p3_descendants": _P3_ALL,
     "p4_found": _P4,
     "p4_profile": _P4_PROFILE,
     "p6_found": _P6,
+    "p6_members": _P6_MEMBERS,
 }

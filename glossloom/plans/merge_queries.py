@@ -73,16 +73,10 @@ def alias_fold(spark: SparkSession, d: str) -> DataFrame:
     return _alias(spark, d)
 
 
-@query("select distinct headword, strip_accents(headword) as folded from stg_term where headword is not null and regexp_matches(headword, '^[ -~À-ʯ]*$')")
+# strip_accents also drops U+034F, whose combining class is 0; a stand-in that is no mark keeps it.
+@query("select distinct headword, replace(strip_accents(replace(headword, chr(847), chr(57344))), chr(57344), chr(847)) as folded from stg_term where headword is not null")
 def accent_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Latin headwords without marks; :func:`accent_fold_all` has all headwords."""
-    t = table(spark, d, "stg_term").where(F.col("headword").rlike("^[ -~À-ʯ]*$")).select("headword").distinct()
-    return t.select("headword", X.accent_folded("headword").alias("folded"))
-
-
-@query()
-def accent_fold_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every headword without combining marks. No SQL: strip_accents also drops U+034F, whose combining class is 0, and composes Hangul."""
+    """Every headword without combining marks."""
     t = table(spark, d, "stg_term").where("headword is not null").select("headword").distinct()
     return t.select("headword", X.accent_folded("headword").alias("folded"))
 
@@ -145,8 +139,7 @@ def undeclared_ids(spark: SparkSession, d: str) -> DataFrame:
   and not exists (select 1 from alias a where a.lang_code = k.lang_code and a.from_headword = k.headword))
 select row_number() over (order by lang_code, headword) as term_id, lang_code, headword from kept""")
 def merged_terms(spark: SparkSession, d: str) -> DataFrame:
-    t, e, c, lang = _t(spark, d, "stg_term", "stg_edge", "stg_section_claim", "language_record")
-    return M.graph(spark, t, e, c, lang)["term"].select("term_id", "lang_code", "headword")
+    return M.terms_numbered(spark, *_t(spark, d, "stg_term", "language_record")).select("term_id", "lang_code", "headword")
 
 
 @query("""select anchor_name as template, rel_type, n_edges from (select split_part(anchor, ':', 3) as anchor_name, rel_type, count(*) as n_edges from stg_edge group by all)""")

@@ -55,13 +55,17 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
         self.n = 0
 
+    def new_path(self) -> str:
+        """Where the next table goes."""
+        self.n += 1
+        return f"{self.base}/{self.n:04d}"
+
     def save(self, df: DataFrame, replaces: list[str] | None = None, **metrics: Column) -> DataFrame:
         """Write and read back; then delete the tables named in ``replaces``.
 
         ``metrics`` are aggregates taken while the rows are written, for :meth:`metric`.
         """
-        self.n += 1
-        path = f"{self.base}/{self.n:04d}"
+        path = self.new_path()
         schema, seen = df.schema, None
         if metrics:
             seen = Observation()

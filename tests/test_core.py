@@ -105,7 +105,7 @@ def test_hierarchy(spark, shape):
     for k, path in want.items():
         r = got[k]
         if path is None:
-            assert (r.root, r.depth, r.path) == ("", -1, None)
+            assert (r.root, r.depth, r.path) == ("", -1, None) and r.on_loop == (k in ("l0", "l1", "l2", "self"))
         else:
             assert (r.root, r.depth, r.path, r.n_descendants) == (path[0], len(path) - 1, path, below[k])
             spans[r.root].append(r.first_pos)
@@ -122,6 +122,13 @@ def test_hierarchy_of_nothing(spark):
     assert {(r.node, r.depth) for r in hierarchy.hierarchy(spark, loops).collect()} == {("a", -1), ("b", -1)}
 
 
+def test_long_way_into_a_loop(spark):
+    parent = {"a": "b", "b": "c", "c": "a", **{f"t{i}": f"t{i - 1}" if i else "b" for i in range(40)}, "alone": "alone", "root": None}
+    links = spark.createDataFrame([("t", k, v) for k, v in parent.items()], "tree string, node string, parent string")
+    got = {r.node: (r.depth, r.on_loop) for r in hierarchy.hierarchy(spark, links, paths=False).collect()}
+    assert got == {k: (0, False) if k == "root" else (-1, k in ("a", "b", "c", "alone")) for k in parent}
+
+
 def test_descendants_over_blocks(spark):
     rnd = random.Random(7)
     parent = {f"n{i}": (f"n{i - 1}" if i < 300 else f"n{rnd.randrange(i)}") if i else None for i in range(600)} | {"a": "b", "b": "a"}
@@ -135,7 +142,7 @@ def test_all_descendants_cover_both_trees(spark, tmp_path):
     spark.createDataFrame([("ine", None), ("gem", "ine"), ("gem", "ine"), ("x", "y"), ("y", "x")], "code string, superset string").write.parquet(f"{tmp_path}/language_set.parquet")
     edges = [("la", "a", "fr", "b", "inherited"), ("fr", "b", "ht", "c", "inherited"), ("fr", "b", "ht", "d", "borrowed"), ("q", "l", "q", "l", "inherited"), ("ine", "gem", "gem", "ine", "inherited")]
     spark.createDataFrame(edges * 2, "src_lang_code string, src_headword string, dst_lang_code string, dst_headword string, rel_type string").write.parquet(f"{tmp_path}/stg_edge.parquet")
-    got = sorted(tuple(r) for r in core_queries.p3_all_descendants(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in core_queries.p3_descendants(spark, str(tmp_path)).collect())
     assert got == [("edge", "fr:b", "ht:c", 1), ("edge", "ine:gem", "gem:ine", 1), ("edge", "la:a", "fr:b", 1), ("edge", "la:a", "ht:c", 2), ("language_set", "ine", "gem", 1)]
 
 
@@ -220,6 +227,51 @@ def test_nested_deep_and_dirty(spark):
     assert nested.tree_rows(df.limit(0)).count() == 0
 
 
+def _records(i, value, table="", path="$", up="", pos=None):
+    if isinstance(value, list):
+        for k, x in enumerate(value):
+            yield from _records(i, x, table, f"{path}[{k}]", up, k)
+    elif isinstance(value, dict):
+        text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        yield i, table, path, up, pos, {k: text(v) for k, v in value.items() if not isinstance(v, (dict, list))}
+        for k, v in value.items():
+            if isinstance(v, dict):
+                yield from _records(i, v, k, f"{path}.{k}", path)
+            elif isinstance(v, list):
+                yield from _records(i, v, k, f"{path}.{k}", path)
+    else:
+        yield i, table, path, up, pos, {"": value if value is None or isinstance(value, str) else json.dumps(value)}
+
+
+def test_records_of_any_shape(spark):
+    rnd = random.Random(6)
+
+    def some(depth):
+        plain = lambda: rnd.choice(["x", "", None, 5, True, "a\"b", "\u00fc"])
+        if depth == 0:
+            return plain()
+        kind = rnd.random()
+        if kind < 0.6:
+            return {rnd.choice(["id", "name", "items", "odd key", "position", "node_path"]): some(depth - 1) for _ in range(rnd.randrange(4))}
+        return [some(depth - 1) for _ in range(rnd.randrange(3))] if kind < 0.8 else plain()
+
+    whole = [(i, {"a": some(4), "b": some(3), "items": [some(2), some(1)]}) for i in range(200)]
+    rows = [(i, json.dumps(v, ensure_ascii=rnd.random() < 0.5)) for i, v in whole]
+    df = spark.createDataFrame(rows + rows[:20] + [(900, None), (901, "{"), (902, "[1]"), (None, "{}"), (903, "{}"), (904, '{"a":1,"a":{"b":2}}')], "tree_id long, t string").withColumn("members", F.lit("clash"))
+    rec = nested.records(df, "tree_id", "t").cache()
+    got = sorted(((r.record_id, r.table_name, r.node_path, r.parent_path, r.position, r.members) for r in rec.collect()), key=repr)
+    want = [x for i, v in [*whole, (903, {}), (904, {"a": {"b": 2}})] for x in _records(i, v)]
+    assert got == sorted(want, key=repr)
+    tables = nested.related_tables(rec)
+    assert sum(t.count() for t in tables.values()) == len(want)
+    assert {"record_id", "node_path", "parent_path", "position", "position_"} <= set(tables["a"].columns)
+    # Every row has its parent in one of the tables.
+    every = rec.select("record_id", F.col("node_path").alias("parent_path"))
+    assert rec.where("node_path <> '$'").join(every, ["record_id", "parent_path"], "left_anti").count() == 0
+    assert nested.related_tables(rec, {"items": ["id"]})["items"].columns == ["record_id", "node_path", "parent_path", "position", "id"]
+    assert nested.records(df.limit(0), "tree_id", "t").count() == 0
+
+
 # -- crosscheck ----------------------------------------------------------------------------------
 def test_crosscheck_reports_every_missing_link(spark, tmp_path, capsys):
     tree = lambda i: json.dumps({"lang": "fr", "term": f"w{i}", "children": [{"keyword": "inh", "terms": [{"lang": "la", "term": f"s{i}"}]}]})
@@ -249,7 +301,7 @@ def test_accent_fold_of_all_headwords(spark, tmp_path):
         "ａ\u0304": "ａ", "x₂": "x₂", "a\u200bb": "a\u200bb", "a\u034fb": "a\u034fb", "한": "\u1112\u1161\u11ab", "が": "か", "ø": "ø", "😀": "😀",
     }
     spark.createDataFrame([(w,) for w in [*want, *want, None]], "headword string").write.parquet(f"{tmp_path}/stg_term.parquet")
-    got = merge_queries.accent_fold_all(spark, str(tmp_path)).collect()
+    got = merge_queries.accent_fold(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.headword: r.folded for r in got} == want
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
     assert want == {w: plain(w) for w in want}

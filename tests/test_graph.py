@@ -5,9 +5,11 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossloom.operators import api, publish
 from glossloom.operators import walk as G
+from glossloom.sources import files
 
 EDGE = "src_term_id long, src_section int, dst_term_id long, dst_section int, rel_type string, anchor string, piece_order int"
 SENSE = "term_id long, section int, part_of_speech string, gloss string"
@@ -105,30 +107,139 @@ def test_trees(graph):
     s = g.tree_slice(i)
     assert sorted((n["headword"], n["depth"]) for n in s["nodes"]) == [("banca", -1), ("bank", 0), ("banker", 1), ("ripa", -1)]
     assert [e["srcSectionUnstated"] for e in s["edges"] if e["relType"] == "affix"] == [True]
-    assert sorted(n["headword"] for n in g.tree_slice(i, 1)["nodes"]) == ["bank", "banker", "ripa"]
+    one = g.tree_slice(i, 1)
+    assert sorted(n["headword"] for n in one["nodes"]) == ["bank", "banker", "ripa"]
     assert g.tree_slice(9999) is None
     up = g.expand(i, "up", 0, [g.terms("la", "ripa")[0].term_id])
     assert [n["headword"] for n in up["nodes"]] == ["banca"]
-    assert len(api.merged_slice(g.tree_slice(i, 1), i, up)["nodes"]) == 4
-    assert api.core_nodes(s) == {n["term_id"] for n in s["nodes"]}
-    page = lambda *a: api.resolve_page(g, *a)["kind"]
-    assert (page("en", "bank"), page("en", "bank", 2), page("la", "ripa", 7), page("en", "zzz")) == ("homograph", "tree", "tree", "notfound")
+    assert len(api.merged_slice(one, i, "up", up)["nodes"]) == 4
+    page = lambda *a: api.resolve_page(g, *a)
+    assert [page(*a)["kind"] for a in (("en", "bank"), ("en", "bank", 2), ("la", "ripa", 7), ("en", "zzz"))] == ["homograph", "tree", "tree", "notfound"]
+    assert page("en", "bank", 2)["slice"]["section"] == 2
     for bad in ("0", "x", "99999999999"):
         with pytest.raises(api.BadRequest):
             api.parse_id(bad)
 
 
+def test_a_word_with_one_numbered_section_shows_its_own(spark):
+    t = _tables(spark, [(1, "en", "w"), (2, "en", "x")], [(1, 0, 2, 3, "derived", "a", None)], [(2, 3, "noun", "g")])
+    page = api.resolve_page(api.Graph(spark, t), "en", "x")
+    assert page["slice"]["section"] == 3 and {n["headword"] for n in page["slice"]["nodes"]} == {"w", "x"}
+
+
+def _tables(spark, terms, edges, senses):
+    term = spark.createDataFrame([(*x, False) for x in terms], "term_id long, lang_code string, headword string, is_reconstructed boolean")
+    return {
+        "term": term, "sense": spark.createDataFrame(senses, SENSE), "edge": spark.createDataFrame(edges, EDGE), "language": spark.createDataFrame([(1, "en", "English")], "language_id int, code string, name string"),
+        "dataset": spark.createDataFrame([(datetime.date(2024, 1, 1),)], "dump_date date"), "pickable_term": term.select("term_id", "lang_code"),
+    }
+
+
+def test_hidden_counts_by_direction(spark):
+    # A focus with 13 parents and 12 children hides three and two.
+    edges = [(100 + i, 0, 1, 0, "derived", "a", None) for i in range(13)] + [(1, 0, 200 + i, 0, "derived", "a", None) for i in range(12)]
+    terms = [(1, "en", "f")] + [(e[0] if e[0] != 1 else e[2], "en", f"w{k:02}") for k, e in enumerate(edges)]
+    g = api.Graph(spark, _tables(spark, terms, edges, []))
+    s = g.tree_slice(1)
+    assert s["overflow"] == [{"id": 1, "direction": "up", "hidden": 3}, {"id": 1, "direction": "down", "hidden": 2}]
+    more = g.expand(1, "down", 0, [n["term_id"] for n in s["nodes"]])
+    assert len(more["nodes"]) == 2 and more["overflow"] == []
+    both = api.merged_slice(s, 1, "down", more)
+    assert both["overflow"] == [{"id": 1, "direction": "up", "hidden": 3}] and len(both["nodes"]) == 23 and len(both["edges"]) == 22
+    drawn = api.parents(spark, both)
+    core, hidden = api.core_nodes(both, drawn)
+    assert len(core) == 11 and hidden == {1: 12 + 3}  # 22 children, ten of them shown
+    core, hidden = api.core_nodes(both, drawn, expanded=[1])
+    assert len(core) == 23 and hidden == {1: 3}
+
+
+def test_a_term_on_both_sides_stays_above(spark):
+    # 2 is parent and child of 1; 3 is reached only through 2, 4 without it.
+    edges = [(2, 0, 1, 0, "derived", "a", None), (1, 0, 2, 0, "derived", "b", None), (2, 0, 3, 0, "derived", "c", None), (1, 0, 4, 0, "derived", "d", None), (4, 0, 5, 0, "affix", "e", 2), (4, 0, 5, 0, "derived", "f", None)]
+    g = api.Graph(spark, _tables(spark, [(i, "en", f"w{i}") for i in range(1, 6)], edges, []))
+    s = g.tree_slice(1)
+    assert {n["term_id"]: n["depth"] for n in s["nodes"]} == {1: 0, 2: -1, 4: 1, 5: 2}
+    # On later steps one edge stands for parallel ones, that of the lowest rank.
+    assert sorted((e["src"], e["dst"], e["relType"]) for e in s["edges"]) == [(1, 2, "derived"), (1, 4, "derived"), (2, 1, "derived"), (4, 5, "derived")]
+
+
+def test_steps():
+    steps = [(1, 2), (2, 3), (3, 1), (3, 4), (1, 5), (5, 4)]
+    assert api.steps_from(1, steps) == {1: 0, 2: 1, 5: 1, 3: 2, 4: 2}
+    assert api.steps_from(1, steps, barred={5, 3}) == {1: 0, 2: 1}
+    assert api.steps_from(9, []) == {9: 0}
+
+
+def test_drawn_under(spark):
+    nodes = {1: 0, 2: -1, 3: -1, 4: -2, 5: 1, 6: 1, 7: 2, 8: 2, 9: -3}
+    edges = [
+        (2, 1, "inherited"), (3, 1, "derived"), (3, 2, "inherited"),  # 3 goes through 2, a descent at its own depth
+        (4, 3, "affix"), (4, 2, "affix"), (4, 2, "root"), (2, 4, "inherited"),  # equal rank: the lesser; an edge the wrong way doesn't count
+        (1, 5, "borrowed"), (1, 6, "affix"), (5, 6, "affix"),  # taking apart is no descent
+        (5, 7, "affix"), (6, 7, "derived"), (5, 8, "mention"),  # 8 has no edge that counts
+        (9, 2, "derived"),  # two steps at once
+    ]
+    at = spark.createDataFrame([(1, n, d) for n, d in nodes.items()], "anchor_id long, term_id long, depth int")
+    e = spark.createDataFrame([(1, *x, k) for k, x in enumerate(edges)], "anchor_id long, src_term_id long, dst_term_id long, rel_type string, piece_order int")
+    got = {r.term_id: (r.parent_id, r["rank"]) for r in G.drawn_under(at, e).collect()}
+    assert got == {2: (1, 0), 3: (2, 0), 4: (2, 13), 5: (1, 1), 6: (1, 13), 7: (6, 5), 8: (1, None), 9: (1, None)}
+    assert G.drawn_under(at.limit(0), e).count() == 0
+
+
+def test_sibling_order():
+    order = [("un-", 1, False), ("do", 2, False), ("alpha", None, False), ("beta", None, False), ("-able", 3, False), ("", None, True)]
+    assert sorted(reversed(order), key=lambda x: api.sibling_key(*x)) == order
+
+
+def test_walks_read_only_their_blocks(spark, tmp_path):
+    rnd = random.Random(1)
+    edges = spark.createDataFrame([(rnd.randrange(1, 400), 0, rnd.randrange(400, 5000), 0, "derived", "a", None) for _ in range(3000)], EDGE)
+    senses = spark.createDataFrame([(1, 1, None, None), (1, 2, None, None)], SENSE)
+    G.write_directed(edges, senses, True, f"{tmp_path}/down")
+    kept = spark.read.parquet(f"{tmp_path}/down")
+    anchors = spark.createDataFrame([(5,)], "anchor_id long")
+    scratch = G.Scratch(spark)
+    a = scratch.save(anchors, **G._seen("anchor_id", F.lit(True)))
+    e, _ = G._from(kept, a, scratch, "anchor_id")
+    assert len(e.inputFiles()) == len(kept.inputFiles())  # files are listed, but
+    assert e.select("block").distinct().count() == 1 and {r.near for r in e.select("near").distinct().collect()} == {5}
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    got = G.walk(spark, kept, None, anchors).collect()
+    assert sorted((r.near, r.far) for r in got) == sorted((r.near, r.far) for r in G.walk(spark, edges, senses, anchors).collect())
+    assert G.walk(spark, kept, None, anchors.limit(0)).count() == 0
+
+
 def test_gates(graph, spark):
     base, args, _ = graph
-    live = publish.live_generation(base)
+    live = publish.live_generation(spark, base)
     with pytest.raises(publish.GateError):  # half the terms are gone
         publish.load(*args[:2], args[2].limit(1), args[3].where("dst_headword = 'banker'"), *args[4:], datetime.date(2024, 2, 1))
-    with publish.single_writer(base), pytest.raises(publish.GateError):
+    with publish.single_writer(spark, base), pytest.raises(publish.GateError):
         publish.load(*args, datetime.date(2024, 2, 1))
-    assert publish.live_generation(base) == live
+    assert publish.live_generation(spark, base) == live
     publish.check_languages(10_000, 10)
     with pytest.raises(publish.GateError):
         publish.check_languages(10_000, 11)
     publish.check_drift("term", 110, 100)
     with pytest.raises(publish.GateError):
         publish.check_drift("term", 111, 100)
+
+
+def test_a_dead_lock_is_taken_over(spark, tmp_path, monkeypatch):
+    files.create(spark, f"{tmp_path}/_lock", "dead")
+    with pytest.raises(publish.GateError), publish.single_writer(spark, str(tmp_path)):
+        pass
+    monkeypatch.setattr(publish, "LOCK_HOURS", -1)
+    with publish.single_writer(spark, str(tmp_path)):
+        assert files.exists(spark, f"{tmp_path}/_lock")
+    assert not files.exists(spark, f"{tmp_path}/_lock")
+
+
+def test_generation(graph, spark):
+    live = publish.live_generation(spark, graph[0])
+    stats = {(r.table_name, r.column_name): r for r in spark.read.parquet(f"{live}/_statistics").collect()}
+    assert stats["edge", "rel_type"].n_rows == 3 and stats["edge", "src_variety_id"].n_nulls == 3 and stats["term", "headword"].least == "banca"
+    t = publish.open_graph(spark, graph[0])
+    assert {"near", "block", "n_sections"} <= set(t["edge_by_dst"].columns) and t["edge_by_dst"].count() == 3
+    assert [tuple(r) for r in t["variety"].select("variety_id", "code", "lang_code").collect()] == [(1, "la-lat", "la")]
