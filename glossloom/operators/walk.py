@@ -29,8 +29,11 @@ CAP, LIMIT = 10, 100
 DESCENT = 8
 #: Blocks of directed edges by near end, and files a block is spread over. Blocks are noted in the bits of a long.
 BLOCKS, FILES = 64, 4
+BY_BLOCK = "block"
 #: Rows up to which a frontier is sent to every task.
 BROADCAST_ROWS = 50_000
+#: Terms with a sense up to which their section counts are sent to every task.
+BROADCAST_COUNTS = 500_000
 EDGE = ("src_term_id", "src_section", "dst_term_id", "dst_section", "rel_type", "anchor", "piece_order")
 
 
@@ -54,16 +57,20 @@ def directed(edges: DataFrame, senses: DataFrame, down: bool) -> DataFrame:
     """The edges that can be walked, with near and far end, rank and the number of their source's sections."""
     near, far = ("src", "dst") if down else ("dst", "src")
     e = edges.select(*EDGE).withColumn("priority", priority("rel_type")).where("priority is not null")
-    n = section_counts(senses).withColumnRenamed("term_id", "_t")
+    scratch = Scratch(edges.sparkSession)
+    n = scratch.save(section_counts(senses).withColumnRenamed("term_id", "_t"), rows=F.count(F.lit(1)))
+    # Two numbers a row: sent to every task while there are few, so the edges are not shuffled for them.
+    n = F.broadcast(n) if scratch.metric(n, "rows") <= BROADCAST_COUNTS else n
     e = e.join(n, F.col("src_term_id") == F.col("_t"), "left").drop("_t").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)).cast("long"))
     ends = {"near": f"{near}_term_id", "far": f"{far}_term_id", "near_section": f"{near}_section", "far_section": f"{far}_section"}
-    return e.withColumns({k: F.col(c) for k, c in ends.items()}).withColumn("block", block_of("near"))
+    return e.withColumns({k: F.col(c) for k, c in ends.items()})
 
 
 def write_directed(edges: DataFrame, senses: DataFrame, down: bool, path: str) -> None:
     """Write the directed edges in blocks; a block with a hub is spread over several files."""
-    e = directed(edges, senses, down)
-    e.repartition("block", F.pmod(F.hash("far"), F.lit(FILES))).sortWithinPartitions("block", "near").write.mode("overwrite").option("compression", "zstd").partitionBy("block").parquet(path)
+    e = directed(edges, senses, down).withColumn(BY_BLOCK, block_of("near"))
+    e = e.repartition(BY_BLOCK, F.pmod(F.hash("far"), F.lit(FILES))).sortWithinPartitions(BY_BLOCK, "near")
+    e.write.mode("overwrite").option("compression", "zstd").partitionBy(BY_BLOCK).parquet(path)
 
 
 def _section_ok(down: bool, wanted: Column) -> Column:
@@ -76,7 +83,9 @@ def _from(e: DataFrame, frontier: DataFrame, scratch: Scratch, key: str) -> tupl
     """The edges in the frontier's blocks and id range, and the frontier, sent to every task if it is small."""
     n, blocks, lo, hi = (scratch.metric(frontier, m) for m in ("open", "blocks", "lo", "hi"))
     mask = (blocks or 0) & ((1 << 64) - 1)
-    e = e.where(F.col("block").isin([b for b in range(BLOCKS) if mask >> b & 1])).where(F.col("near").between(lo, hi))
+    if BY_BLOCK in e.columns:
+        e = e.where(F.col(BY_BLOCK).isin([b for b in range(BLOCKS) if mask >> b & 1]))
+    e = e.where(F.col("near").between(lo, hi))
     return e, F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
 
 
@@ -125,7 +134,7 @@ def walk(spark: SparkSession, edges: DataFrame, senses: DataFrame | None, anchor
     """The rows of all levels of the walks from ``anchors`` (``anchor_id``, optional ``section``, ``depth``, ``exclude``).
 
     ``edges`` are directed edges as :func:`write_directed` keeps them in blocks, or plain ones, which are
-    written so first. Returns the edges met with ``anchor_id``, signed ``depth``, ``near`` and ``far``,
+    directed first. Returns the edges met with ``anchor_id``, signed ``depth``, ``near`` and ``far``,
     ``is_cycle``, ``total_children`` of the parent at that level, and upwards ``etymology_count``, downwards
     ``src_section_unstated``. An unknown anchor has no rows. ``section`` and ``exclude`` hold for the
     first level only. A term met again on its own path comes out once, marked, and isn't expanded.
@@ -135,10 +144,8 @@ def walk(spark: SparkSession, edges: DataFrame, senses: DataFrame | None, anchor
     given = lambda c: f"coalesce({c}, {defaults[c]}) as {c}" if c in anchors.columns else f"{defaults[c]} as {c}"
     a = anchors.selectExpr("anchor_id", *[given(c) for c in defaults]).where("anchor_id is not null").dropDuplicates(["anchor_id"])
     a = scratch.save(a, **_seen("anchor_id", F.lit(True)))
-    if "block" not in edges.columns:
-        path = scratch.new_path()
-        write_directed(edges, senses, down, path)
-        edges = spark.read.parquet(path)
+    if "near" not in edges.columns:  # written once, as every level reads them; not worth ordering for one walk
+        edges = scratch.save(directed(edges, senses, down))
     state = ["anchor_id", "near", "far", "far_section", *EDGE, "depth", "path", "is_cycle", "total_children", "etymology_count"]
 
     def finished(level: DataFrame) -> DataFrame:

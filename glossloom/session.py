@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -109,6 +110,15 @@ def rows_once(df: DataFrame, key: str) -> DataFrame:
     return df.join(small, key, "left_anti").unionByName(df.join(small, key, "left_semi").distinct())
 
 
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of a data directory."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One input table of a data directory; its schema is read from the files once, as long as they stay the same."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if not os.path.exists(path):  # on another file system
+        return spark.read.parquet(path)
+    key = (path, os.stat(path).st_mtime_ns)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
