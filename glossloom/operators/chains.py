@@ -15,7 +15,7 @@ from glossloom.operators import vocabulary as V
 
 _CODE = re.compile(r"[a-z][a-z0-9]+(-[A-Za-z0-9]+)*\Z")
 _TAG = re.compile(r"[<>]")
-_REL = V.inverted(V.CODES)
+_REL = dict(V.CODES)
 SLOT = "struct<src_lang:string,src_term:string,dst_lang:string,dst_term:string,rel_type:string,piece_order:int,src_id:string>"
 
 

@@ -25,12 +25,10 @@ ENTRY_SCHEMA = (
 
 def template_dim() -> dict[str, tuple[str, str, str]]:
     """Template name as written -> (name it behaves as, family, relation type)."""
-    out: dict[str, tuple[str, str, str]] = {}
-    for family, t in (("directional", V.DIRECTIONAL), ("affix", V.AFFIX), ("mention", V.MENTION), ("root", V.ROOT), ("single", V.SINGLE)):
-        out |= {n: (n, family, rel) for n, rel in V.inverted(t).items()}
-    out |= {n: (n, "implied", rel) for n, (_, _, rel) in V.IMPLIED.items()}
-    out |= {n: (n, "etymon", "") for n in V.names(V.ETYMON)}
-    return out | {alias: out[n] for alias, n in V.SPELLINGS.items()}
+    out = {name: (name, family, rel) for name, family, rel in V.TEMPLATES}
+    out |= {name: (name, "implied", rel) for name, (_, _, rel) in V.IMPLIED.items()}
+    out |= {name: (name, "etymon", "") for name in V.ETYMON}
+    return out | {spelt: out[name] for spelt, name in V.SPELLINGS.items()}
 
 
 def _arg(args: Column, key: Column | str) -> Column:
@@ -98,13 +96,14 @@ def _read_slots(t: DataFrame) -> DataFrame:
 
 
 def entries_with_section(entries: DataFrame) -> DataFrame:
-    """Valid entries with an id, their section and whether all their senses only point at lemmas."""
+    """Valid entries, repeated ones once, with an id, their section and whether all their senses only point at lemmas."""
     formed = F.coalesce(F.forall("senses", lambda s: F.array_contains(s["tags"], "form-of") & (F.size(s["form_of"]) > 0)), F.lit(False)) & (F.size("senses") > 0)
     e = entries.where("word <> '' and lang_code <> ''")
     own = F.coalesce(F.col("original_title").startswith("Reconstruction:"), F.lit(False))
     e = e.withColumns({"section": X.section_of("etymology_number"), "forms_only": F.coalesce(formed, F.lit(False)), "on_reconstruction": own})
-    key = F.xxhash64("word", "lang_code", "etymology_number", "pos", F.to_json("senses"), F.to_json("etymology_templates"))
-    return e.withColumn("entry_id", key)
+    told = [F.coalesce(F.col(c), F.lit("\x1e")) for c in ("word", "lang_code", "etymology_number", "original_title", "pos", "descendants")]
+    told += [F.coalesce(F.to_json(c), F.lit("\x1e")) for c in ("senses", "etymology_templates", "derived")]
+    return e.withColumn("entry_id", F.md5(F.concat_ws("\x1f", *told))).dropDuplicates(["entry_id"])
 
 
 def _templates(entries: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def raw_edges(entries: DataFrame) -> DataFrame:
     s = entries.select("entry_id", "lang_code", F.posexplode("senses").alias("i", "s"))
     form = F.get("s.form_of", F.lit(0))["word"]
     alt = F.get("s.alt_of", F.lit(0))["word"]
-    blocked = F.arrays_overlap("s.tags", F.array(*[F.lit(x) for x in V.names(V.NOT_A_SPELLING)]))
+    blocked = F.arrays_overlap("s.tags", F.array(*[F.lit(x) for x in V.NOT_A_SPELLING]))
     f = s.where(F.array_contains("s.tags", "form-of")).select("entry_id", "lang_code", "i", X.trim_labels(form, V.GENDER_LABELS).alias("w"), F.lit("inflection").alias("rel"), F.lit("form_of").alias("kind"))
     a = s.where(F.array_contains("s.tags", "alt-of") & ~blocked).select("entry_id", "lang_code", "i", alt.alias("w"), F.lit("alt_form").alias("rel"), F.lit("alt_of").alias("kind"))
     senses = f.unionByName(a).where(X.has_term("w") & ~F.col("w").rlike(r"\s"))
@@ -234,7 +233,7 @@ def unmapped_names(entries: DataFrame, limit: int | None = 30) -> DataFrame:
 
     A code without a meaning within an etymon template or its chains counts as ``etymon:<code>``, once per use.
     """
-    known = [*template_dim(), *V.names(V.IGNORED), ","]
+    known = [*template_dim(), *V.IGNORED, ","]
     e = entries_with_section(entries)
     t = e.where("not forms_only").select(F.explode("etymology_templates.name").alias("name")).where(~F.col("name").isin(*known))
     codes = _templates(e).where("family = 'etymon'").select(F.explode(chains.unknown_etymon_codes(F.col("args"), F.col("lang_code"))).alias("name"))

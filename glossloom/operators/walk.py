@@ -18,10 +18,10 @@ from pyspark.sql.window import Window as W
 from glossloom.session import Scratch
 
 # Relation types from the most to the least binding; mentions are never walked.
-PRIORITY = (
-    "inherited borrowed learned_borrowing semi_learned_borrowing transliteration derived shortening metathesis calque semantic_loan "
-    "compound blend univerbation affix reduplication surface_analysis root influence alt_form inflection"
-).split()
+PRIORITY = [
+    "inherited", "borrowed", "learned_borrowing", "semi_learned_borrowing", "transliteration", "derived", "shortening", "metathesis", "calque",
+    "semantic_loan", "compound", "blend", "univerbation", "affix", "reduplication", "surface_analysis", "root", "influence", "alt_form", "inflection",
+]
 #: Relations beyond which a walk doesn't go on.
 NON_TRANSITIVE = ("influence", "semantic_loan", "calque")
 CAP, LIMIT = 10, 100

@@ -22,19 +22,21 @@ def read_entries(spark: SparkSession, path: str, parts: int | None = None) -> Da
     Blank lines, redirects, lines that are no JSON, that lack a word or language or whose fields have
     other types than declared are left out; :func:`rejected_lines` counts them.
     """
-    lines = _judged(spark, path, parts).where("_why is null")
-    return lines.select(F.from_json("value", ENTRY_SCHEMA).alias("e")).select("e.*")
+    lines = spark.read.text(path)
+    return entries_of(lines.repartition(parts) if parts else lines)
+
+
+def entries_of(lines: DataFrame) -> DataFrame:
+    """The entries of JSON lines (``value``)."""
+    return _judged(lines).where("_why is null").select(F.from_json("value", ENTRY_SCHEMA).alias("e")).select("e.*")
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines left out, by reason."""
-    return _judged(spark, path, None).where("_why is not null").groupBy(F.col("_why").alias("reason")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return _judged(spark.read.text(path)).where("_why is not null").groupBy(F.col("_why").alias("reason")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def _judged(spark: SparkSession, path: str, parts: int | None) -> DataFrame:
-    lines = spark.read.text(path)
-    if parts:
-        lines = lines.repartition(parts)
+def _judged(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json("value")
     full = ENTRY_SCHEMA + ", _bad string"
     shape = F.schema_of_variant(v)
