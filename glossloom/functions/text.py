@@ -132,6 +132,47 @@ def entry_url(lang_name: Column | str, headword: Column | str, reconstructed: Co
     return F.concat(page, F.lit("#"), lang)
 
 
+def node_label(headword: Column | str, reconstructed: Column | str, lang_name: Column | str) -> Column:
+    """A term with its language in brackets, as a node of a tree is labelled."""
+    return F.concat(display_headword(headword, reconstructed), F.lit(" ("), _c(lang_name), F.lit(")"))
+
+
+def tree_url(lang_code: Column | str, headword: Column | str, section: Column | str | None = None) -> Column:
+    """Path of a term's tree, percent-encoded, with the section if there is one."""
+
+    def enc(c: Column) -> Column:
+        c = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+        for ch in "!'()~":  # these need no encoding
+            c = F.replace(c, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+        return c
+
+    path = F.concat(F.lit("/tree/"), enc(_c(lang_code)), F.lit("/"), enc(_c(headword)))
+    if section is None:
+        return path
+    return F.concat(path, F.coalesce(F.concat(F.lit("?etym="), _c(section).cast("string")), F.lit("")))
+
+
+def rate_limit_key(address: Column | str) -> Column:
+    """What requests are counted by: an IPv4 address as it is, of an IPv6 address its first 64 bits."""
+    import ipaddress
+
+    def key(t: str | None) -> str | None:
+        if t is None or ":" not in t or "." in t:
+            return t
+        try:
+            groups = ipaddress.IPv6Address(t).exploded.split(":")[:4]
+        except ValueError:
+            return t
+        return ":".join(f"{int(g, 16):x}" for g in groups)
+
+    @F.pandas_udf("string")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(key)
+
+    return keys(_c(address))
+
+
 def redacted(x: Column | str) -> Column:
     """A connection string or message with the password masked."""
     return F.regexp_replace(F.regexp_replace(_c(x), r"(://[^:/@\s]+:)[^@\s]+@", "$1***@"), r"(?i)(password=)[^\s&]+", "$1***")

@@ -41,7 +41,7 @@ def report(trees: DataFrame, edges: DataFrame, out: str) -> tuple[int, int, int]
     """Write all missing links of ``trees`` to the table ``out``; the numbers of readable trees, their links and missing ones."""
     scratch = Scratch(trees.sparkSession)
     links = scratch.save(tree_edges(trees))
-    missing(links, edges).write.parquet(out)
+    missing(links, edges).orderBy("src_lang", "src_term", "dst_lang", "dst_term", "keyword", "tree_id").write.parquet(out)
     whole = trees.where(F.trim("tree_json").startswith("{") & F.try_parse_json("tree_json").isNotNull()).select("tree_id")
     # Trees too deep to be parsed there are known by their links.
     n_trees = whole.unionByName(links.select("tree_id")).distinct().count()

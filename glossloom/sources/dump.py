@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossloom.operators.normalize import ENTRY_SCHEMA
+from glossloom.sources import files
 
 
 def read_entries(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
@@ -70,25 +71,45 @@ def declared_paths() -> list[str]:
 def write_filtered(entries: DataFrame, path: str) -> None:
     """The declared fields of entries, and beside them the list of fields they were trimmed to."""
     entries.write.mode("overwrite").parquet(path)
-    with open(path.rstrip("/") + ".fields.json", "w") as f:
-        json.dump(declared_paths(), f)
+    files.replace(entries.sparkSession, path.rstrip("/") + ".fields.json", json.dumps(declared_paths()))
 
 
-def check_fields(path: str) -> None:
+def check_fields(spark: SparkSession, path: str) -> None:
     """Refuse a trimmed dump that lacks a declared field or says nothing of its fields."""
     side = path.rstrip("/") + ".fields.json"
-    if not os.path.exists(side):
+    if not files.exists(spark, side):
         raise ValueError(f"{path} has no list of its fields; filter it again")
-    with open(side) as f:
-        missing = sorted(set(declared_paths()) - set(json.load(f)))
+    missing = sorted(set(declared_paths()) - set(json.loads(files.read(spark, side))))
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}; filter it again")
 
 
+#: Staged items: terms, edges and claims.
+ITEM_SCHEMAS = {
+    "stg_term": "lang_code string, headword string, section smallint, is_reconstructed boolean, part_of_speech string, gloss string, has_sense boolean",
+    "stg_edge": "src_lang_code string, src_headword string, src_section smallint, src_variety_code string, dst_lang_code string, dst_headword string, dst_section smallint, "
+    "rel_type string, anchor string, piece_order smallint, src_wiktionary_id string",
+    "stg_section_claim": "lang_code string, headword string, section smallint, wiktionary_id string, listed_lang_code string, listed_headword string",
+}
+
+
 def write_items(items: dict[str, DataFrame], path: str) -> None:
-    """Staged terms, edges and claims, a table each; a failed write leaves no table behind."""
-    for name, df in items.items():
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+    """Staged terms, edges and claims, a table each, put in place together when all are written."""
+    spark = next(iter(items.values())).sparkSession
+    part = f"{path.rstrip('/')}.part"
+    files.delete(spark, part)
+    try:
+        for name, df in items.items():
+            want = T._parse_datatype_string(ITEM_SCHEMAS[name]) if name in ITEM_SCHEMAS else df.schema
+            df.select(*[F.col(f.name).cast(f.dataType) for f in want.fields]).write.parquet(f"{part}/{name}")
+        files.move(spark, part, path.rstrip("/"))
+    finally:
+        files.delete(spark, part)
+
+
+def read_items(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The staged tables of a path with their declared types; a missing one is an error."""
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in ITEM_SCHEMAS.items()}
 
 
 def to_json_lines(items: dict[str, DataFrame]) -> DataFrame:
@@ -100,7 +121,7 @@ def to_json_lines(items: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def split_json_lines(lines: DataFrame, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+def split_json_lines(lines: DataFrame, schemas: dict[str, str] = ITEM_SCHEMAS) -> dict[str, DataFrame]:
     """The items of JSON lines by kind: edges by ``rel_type``, claims by page and claim fields, else terms."""
     edge = F.get_json_object("value", "$.rel_type").isNotNull()
     claim = ~edge & (F.get_json_object("value", "$.listed_headword").isNotNull() | F.get_json_object("value", "$.wiktionary_id").isNotNull())
