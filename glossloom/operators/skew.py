@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from glossloom.session import Scratch
+
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], values: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """One row per key and value with its number of rows ``n_rows`` and the ``extra`` aggregates.
@@ -52,7 +54,8 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, block: Callable[[Col
     running weight is taken over a key's blocks first and then inside the one block that holds the
     percentile, so a hot key's distinct values are never ordered in one task.
     """
-    vf = value_frequencies(df.select(*keys, F.col(value).alias("_v")), keys, ["_v"])
+    # Written once: three plans read it.
+    vf = Scratch(df.sparkSession).save(value_frequencies(df.select(*keys, F.col(value).alias("_v")), keys, ["_v"]))
     mode = F.min_by("_v", F.struct(-F.col("n_rows"), F.col("_v"))).alias("_m")
     blocks = vf.where("_v is not null").groupBy(*keys, block(F.col("_v")).alias("_b")).agg(
         F.sum("n_rows").alias("_w"), F.count(F.lit(1)).alias("_d"), F.max("n_rows").alias("_top"), mode

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from glossloom.operators import walk as G
+from glossloom.operators.api import first_from, summaries
+from glossloom.operators.merge import pickable
 from glossloom.plans.adapter import EDGES, LANGUAGES, SENSES, TERMS, ansi, frame
-from glossloom.session import table
+from glossloom.session import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,13 +95,13 @@ for _name, _sql, _down in (
     query(walk_sql(_sql, _down), _name)(lambda spark, d, s=_sql, down=_down: _walked(spark, d, _anchors(spark, d, s), down))
 
 
-@query(f"with {_WITH}, k as (select src_term_id, dst_term_id, min({_PRIO}) as best from e0 where {_PRIO} is not null group by 1, 2) "
-       "select src_term_id as parent_id, count(*) as n_children, greatest(count(*) - 10, 0) as n_hidden from k group by 1")
-def first_hop_overflow(spark: SparkSession, d: str) -> DataFrame:
-    """Children of every term and how many the cap hides."""
-    e = frame(spark, d, EDGES).where(G.priority("rel_type").isNotNull()).select("src_term_id", "dst_term_id").distinct()
-    n = F.count(F.lit(1))
-    return e.groupBy(F.col("src_term_id").alias("parent_id")).agg(n.alias("n_children"), F.greatest(n - G.CAP, F.lit(0)).alias("n_hidden"))
+_OVER = f"with w as ({{}}) select anchor_id, parent_id, arg_max(total_children, (abs(depth), total_children)) - {G.CAP} as n_hidden from w group by all having n_hidden > 0"
+
+
+@query(_OVER.format(walk_sql(_REGIONS, True)))
+def walk_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Children the cap hides below each parent of the regions' walks."""
+    return G.overflow(G.walk(spark, *_graph(spark, d), _anchors(spark, d, _REGIONS)))
 
 
 @query(f"""with {_WITH}
@@ -130,15 +131,20 @@ def parallel_edge_merge(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_parallel(frame(spark, d, EDGES))
 
 
-@query(f"""with {_WITH}, p as (select dst_term_id, src_term_id, min({_PRIO}) as p from e0 where {_PRIO} is not null group by 1, 2),
-r as (select *, row_number() over (partition by dst_term_id order by p, src_term_id) k from p)
-select dst_term_id as term_id, src_term_id as parent_id, p as priority from r where k = 1""")
+@query(f"""with w as ({walk_sql(_REGIONS, True)}), nod as (
+  select anchor_id, child_id as node, min(depth) as d from w where child_id <> anchor_id group by all union all select distinct anchor_id, anchor_id, 0 from w
+), e as (select w.anchor_id, parent_id as other, child_id as node, min({_PRIO}) as rank from w group by all),
+x as (
+  select e.anchor_id, e.node, other, rank, n.d <> o.d as direct from e join nod n on n.anchor_id = e.anchor_id and n.node = e.node join nod o on o.anchor_id = e.anchor_id and o.node = e.other
+  where n.d > 0 and (o.d = n.d - 1 or (o.d = n.d and rank <= 8))
+), best as (select *, row_number() over (partition by anchor_id, node order by direct, rank, other) as k from x)
+select a.anchor_id, a.node as term_id, coalesce(b.other, a.anchor_id) as parent_id, b.rank from nod a left join best b on b.anchor_id = a.anchor_id and b.node = a.node and k = 1 where a.node <> a.anchor_id""")
 def parent_pick(spark: SparkSession, d: str) -> DataFrame:
-    """The one edge under which each term is drawn: lowest relation rank, then parent."""
-    e = G.merge_parallel(frame(spark, d, EDGES))
-    return e.groupBy(F.col("dst_term_id").alias("term_id")).agg(F.min(F.struct(G.priority("primary_type").alias("p"), F.col("src_term_id").alias("s"))).alias("m")).select(
-        "term_id", F.col("m.s").alias("parent_id"), F.col("m.p").alias("priority")
-    )
+    """The one neighbour each term of the regions' trees is drawn under."""
+    rows = Scratch(spark).save(G.walk(spark, *_graph(spark, d), _anchors(spark, d, _REGIONS)))
+    at = rows.where("far <> anchor_id").groupBy("anchor_id", F.col("far").alias("term_id")).agg(F.min("depth").alias("depth"))
+    at = at.unionByName(rows.select("anchor_id", F.col("anchor_id").alias("term_id"), F.lit(0).alias("depth")).distinct())
+    return G.drawn_under(at, rows).select("anchor_id", "term_id", "parent_id", "rank")
 
 
 _PICKABLE = f"""{_WITH}, pickable as (
@@ -146,17 +152,10 @@ _PICKABLE = f"""{_WITH}, pickable as (
   and t.term_id in (select src_term_id from e0 where rel_type <> 'mention' union select dst_term_id from e0 where rel_type <> 'mention'))"""
 
 
-def pickable(terms: DataFrame, senses: DataFrame, edges: DataFrame) -> DataFrame:
-    """Terms with a sense that are an end of some edge other than a mention."""
-    e = edges.where("rel_type <> 'mention'")
-    ends = e.select(F.explode(F.array("src_term_id", "dst_term_id")).alias("term_id")).distinct()
-    return terms.join(senses.select("term_id").distinct(), "term_id", "left_semi").join(ends, "term_id", "left_semi").select("term_id", "language_id")
-
-
 @query(f"with {_PICKABLE} select * from pickable")
 def pickable_terms(spark: SparkSession, d: str) -> DataFrame:
     e, s = _graph(spark, d)
-    return pickable(frame(spark, d, TERMS), s, e)
+    return pickable(frame(spark, d, TERMS), s, e).select("term_id", "language_id")
 
 
 @query(f"with {_PICKABLE} select code, name from language l where exists (select 1 from pickable p where p.language_id = l.language_id)")
@@ -169,10 +168,7 @@ def languages_with_pickable(spark: SparkSession, d: str) -> DataFrame:
 select language_id, min(term_id) as term_id from pickable join r using (language_id) where term_id >= lo + cast(floor(0.37 * (hi - lo + 1)) as bigint) group by 1""")
 def random_term_probe(spark: SparkSession, d: str, draw: float = 0.37) -> DataFrame:
     """For each language the first pickable term at or after a drawn point of its id range."""
-    p = pickable_terms(spark, d)
-    r = p.groupBy(F.col("language_id").alias("_l")).agg(F.min("term_id").alias("lo"), F.max("term_id").alias("hi"))
-    x = p.join(r, F.col("language_id") == F.col("_l")).where(F.col("term_id") >= F.col("lo") + F.floor(F.lit(draw) * (F.col("hi") - F.col("lo") + 1)))
-    return x.groupBy("language_id").agg(F.min("term_id").alias("term_id"))
+    return first_from(pickable_terms(spark, d), ["language_id"], draw)
 
 
 @query(f"""with {_WITH}, r as (select *, row_number() over (partition by term_id, section order by part_of_speech nulls first, gloss nulls last) k from sense)
@@ -182,12 +178,6 @@ def term_summaries(spark: SparkSession, d: str) -> DataFrame:
     return summaries(frame(spark, d, TERMS), frame(spark, d, SENSES))
 
 
-def summaries(terms: DataFrame, senses: DataFrame) -> DataFrame:
-    best = F.min(F.struct("part_of_speech", F.col("gloss").isNull().alias("_n"), "gloss")).alias("_s")
-    one = senses.groupBy(F.col("term_id").alias("_t"), "section").agg(best)
-    return terms.join(one, F.col("term_id") == F.col("_t"), "left").select("term_id", F.coalesce("section", F.lit(0)).alias("section"), "_s.part_of_speech", "_s.gloss")
-
-
 @query(f"""with {_WITH} select term_id, count(*) as n_senses, array_to_string(list(section || '/' || coalesce(part_of_speech, '-') || '/' || coalesce(gloss, '-')
   order by section, part_of_speech nulls first, gloss nulls first), '; ') as senses from sense group by 1""")
 def term_senses(spark: SparkSession, d: str) -> DataFrame:

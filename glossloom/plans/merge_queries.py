@@ -9,7 +9,7 @@ from glossloom.functions import registry as R
 from glossloom.functions import text as X
 from glossloom.operators import merge as M
 from glossloom.plans.graph_queries import Query
-from glossloom.session import table
+from glossloom.session import Scratch, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -142,6 +142,31 @@ def merged_terms(spark: SparkSession, d: str) -> DataFrame:
     return M.terms_numbered(spark, *_t(spark, d, "stg_term", "language_record")).select("term_id", "lang_code", "headword")
 
 
+_TERM = f"""{_ALIAS}, kept as (select lang_code, headword from keys k where lang_code in (select code from language_record)
+  and not exists (select 1 from alias a where a.lang_code = k.lang_code and a.from_headword = k.headword)),
+term as (select row_number() over (order by lang_code, headword) as term_id, lang_code, headword from kept)"""
+
+
+@query(f"""with {_TERM} select distinct term_id, section, part_of_speech, gloss from stg_term s join term t on t.lang_code = s.lang_code and t.headword = s.headword where has_sense""")
+def merged_senses(spark: SparkSession, d: str) -> DataFrame:
+    t, lang = _t(spark, d, "stg_term", "language_record")
+    return M.senses_of(t, Scratch(spark).save(M.terms_numbered(spark, t, lang)))
+
+
+@query(f"""with {_STATED}, {_TERM[_TERM.index("kept as"):]}, vars as (select code, row_number() over (order by code) as variety_id from (select distinct code from variety where code is not null)),
+one as (select * from spread qualify row_number() over (partition by src_lang_code, src_headword, src_sec, dst_lang_code, dst_headword, dst_section, rel_type
+  order by coalesce(try_cast(split_part(anchor, ':', 2) as int), 1073741824), anchor, src_variety_code nulls first, piece_order nulls first) = 1)
+select s.term_id as src_term_id, src_sec as src_section, t.term_id as dst_term_id, dst_section, rel_type, variety_id as src_variety_id, anchor, piece_order
+from one join term s on s.lang_code = src_lang_code and s.headword = src_headword join term t on t.lang_code = dst_lang_code and t.headword = dst_headword left join vars v on v.code = src_variety_code""")
+def merged_edges_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the graph with the ids of their ends and varieties."""
+    t, e, c, lang, var = _t(spark, d, "stg_term", "stg_edge", "stg_section_claim", "language_record", "variety")
+    scratch = Scratch(spark)
+    alias = scratch.save(M.aliases(M.term_keys(t)))
+    term = scratch.save(M.terms_numbered(spark, t, lang, alias))
+    return M.edges_of(M.merged_edges(e, c, alias, lang), term, M.varieties_numbered(spark, var)).drop("src_variety_code")
+
+
 @query("""select anchor_name as template, rel_type, n_edges from (select split_part(anchor, ':', 3) as anchor_name, rel_type, count(*) as n_edges from stg_edge group by all)""")
 def template_tally(spark: SparkSession, d: str) -> DataFrame:
     """Edges by template and relation."""
@@ -193,14 +218,24 @@ def display_headwords(spark: SparkSession, d: str) -> DataFrame:
     return t.select("term_id", "headword", X.display_headword("headword", F.coalesce("is_reconstructed", F.lit(False))).alias("shown"))
 
 
-@query("select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events")
-def template_args_json(spark: SparkSession, d: str) -> DataFrame:
-    """A named argument of a JSON map."""
-    e = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("args"))
-    return e.select("event_id", F.try_element_at("args", F.lit("k")).try_cast("int").alias("k"))
-
-
-@query()
+def _folded_sql(c: str) -> str:
+    return f"lower(replace(strip_accents(replace(regexp_replace({c}, '^\\*', ''), chr(847), chr(57344))), chr(57344), chr(847)))"
+
+
+@query(f"""with recursive t as (
+  select distinct tree_id, tree_json from ety_tree where tree_json is not null and json_valid(tree_json) and json_type(tree_json) = 'OBJECT'
+), walk as (
+  select tree_id, cast(tree_json as json) as j, cast(null as json) as rel, cast(null as varchar) as dst_lang, cast(null as varchar) as dst_term,
+    json_extract_string(tree_json, '$.lang') as lang, coalesce(nullif(json_extract_string(tree_json, '$.term'), ''), json_extract_string(tree_json, '$.alt')) as term, 0 as lvl from t
+  union all
+  select tree_id, x, r, lang, term, coalesce(json_extract_string(x, '$.lang'), ''), coalesce(nullif(json_extract_string(x, '$.term'), ''), json_extract_string(x, '$.alt'), ''), lvl + 1
+  from (select tree_id, lang, term, lvl, r, json_extract(r, '$.terms[' || i || ']') as x from (select *, unnest(range(cast(json_array_length(r, '$.terms') as bigint))) as i
+        from (select tree_id, lang, term, lvl, json_extract(j, '$.children[' || k || ']') as r from (select *, unnest(range(cast(json_array_length(j, '$.children') as bigint))) as k
+              from walk where json_type(j, '$.children') = 'ARRAY')) where json_type(r, '$.terms') = 'ARRAY'))
+), link as (
+  select distinct tree_id, coalesce(json_extract_string(rel, '$.keyword'), '') as keyword, lang as src_lang, term as src_term, dst_lang, dst_term from walk where lvl > 0 and term <> '' and dst_term <> ''
+), have as (select distinct src_lang_code as sl, {_folded_sql("src_headword")} as sh, dst_lang_code as dl, {_folded_sql("dst_headword")} as dh from stg_edge)
+select * from link where not exists (select 1 from have where sl = src_lang and sh = {_folded_sql("src_term")} and dl = dst_lang and dh = {_folded_sql("dst_term")})""")
 def missing_edges_anti(spark: SparkSession, d: str) -> DataFrame:
     """Links of rendered trees that no staged edge states."""
     from glossloom.operators import crosscheck
@@ -208,11 +243,6 @@ def missing_edges_anti(spark: SparkSession, d: str) -> DataFrame:
     return crosscheck.missing(crosscheck.tree_edges(table(spark, d, "ety_tree")), table(spark, d, "stg_edge"))
 
 
-@query("select lang_code, part_of_speech, gloss, count(*) as n_rows from stg_term group by all")
-def term_rows_by_sense(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "stg_term").groupBy("lang_code", "part_of_speech", "gloss").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 @query("""select p_partkey, i as piece, case when i = 1 and not ends_with(w, '-') then w || '-' when i = n and i > 1 and not starts_with(w, '-') then '-' || w else w end as shown
 from (select p_partkey, len(s) as n, unnest(range(1, len(s) + 1)) as i, s[i] as w from (select p_partkey, string_split(p_name, ' ') as s from part))""")
 def affix_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -228,12 +258,3 @@ def directional_langs(spark: SparkSession, d: str) -> DataFrame:
     """Comma lists of language codes, one row per code."""
     t = table(spark, d, "language_record").select("code", F.concat_ws(", ", "code", "iso639_1", "iso639_2b", "iso639_3").alias("list")).distinct()
     return t.select("code", F.explode(X.lang_codes("list")).alias("alias"))
-
-
-@query("""select case when rel_type = 'inflection' then 'inflection' when src_variety_code is not null then 'variety' when dst_section > 0 then 'section' else 'same term' end as kind, count(*) as n_edges
-from stg_edge where src_lang_code = dst_lang_code and src_headword = dst_headword group by 1""")
-def self_loop_tally(spark: SparkSession, d: str) -> DataFrame:
-    """Staged edges from a term to itself, by kind."""
-    e = table(spark, d, "stg_edge").where("src_lang_code = dst_lang_code and src_headword = dst_headword")
-    kind = F.when(F.col("rel_type") == "inflection", "inflection").when(F.col("src_variety_code").isNotNull(), "variety").when(F.col("dst_section") > 0, "section").otherwise("same term")
-    return e.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_edges"))

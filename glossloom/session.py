@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="glossloom-")
+    atexit.register(shutil.rmtree, own, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
@@ -48,13 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut the lineage of iterative plans.
 
-    A written table survives the loss of executors, unlike a local checkpoint.
+    A written table survives the loss of executors, unlike a local checkpoint. Results read the tables
+    written last, so these stay until :meth:`clear` is called, at best when the results are written.
     """
 
+    bases: set[str] = set()
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.bases.add(self.base)
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Delete all tables of this process; results not yet written can't be read after."""
+        one = cls(spark)
+        while cls.bases:
+            one.delete(cls.bases.pop())
 
     def new_path(self) -> str:
         """Where the next table goes."""
