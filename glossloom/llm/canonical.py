@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from glossloom.session import Scratch
 
-# Latin letters without a decomposition, as "letter base".
-_BASES = dict(p.split() for p in "ð d, þ t, đ d, æ a, œ o, ø o, ł l, ı i, ħ h, ŋ n, ß s".split(", "))
+# Latin letters without a decomposition and their base letters.
+_BASES = {"ð": "d", "þ": "t", "đ": "d", "æ": "a", "œ": "o", "ø": "o", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "n", "ß": "s"}
 
 
 def _fold_table() -> tuple[str, str]:
