@@ -152,9 +152,11 @@ def walk(spark: SparkSession, edges: DataFrame, senses: DataFrame | None, anchor
         level = level.withColumn("etymology_count", F.when(F.col("src_section") == 0, F.col("n_sections")).otherwise(F.lit(0)).cast("long"))
         return scratch.save(level.select(*state), **_seen("far", _grows(down)))
 
-    levels = [finished(_first_hop(edges, a, scratch, down, cap))] if scratch.metric(a, "open") else [a.join(edges.limit(0), F.lit(False)).select(
-        "anchor_id", "near", "far", "far_section", *EDGE, "depth", F.array().cast("array<long>").alias("path"), F.lit(False).alias("is_cycle"), F.lit(0).cast("long").alias("total_children"), F.lit(0).cast("long").alias("etymology_count")
-    )]
+    if scratch.metric(a, "open"):
+        levels = [finished(_first_hop(edges, a, scratch, down, cap))]
+    else:
+        blank = {"anchor_id": a.schema["anchor_id"].dataType, "depth": "int", "path": "array<long>", "is_cycle": "boolean", "total_children": "long", "etymology_count": "long"}
+        levels = [edges.limit(0).select(*[F.lit(None).cast(blank[c]).alias(c) if c in blank else c for c in state])]
     while scratch.metric(a, "open") and scratch.metric(levels[-1], "open") and len(levels) < LIMIT:
         levels.append(finished(_next_hop(edges, levels[-1], scratch, down, cap)))
     out = reduce(DataFrame.unionByName, levels).drop("path", "far_section")
