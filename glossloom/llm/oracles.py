@@ -5,6 +5,8 @@ Rules and letters are stated again here as plain SQL, so that a wrong one shows
 
 from __future__ import annotations
 
+import unicodedata
+
 # Look-alike letters and the Latin letters they look like, in the same places.
 _CYRILLIC = "асԁеһіјӏорԛѕуѵԝхӕәАВСЕԌНІЈКӀМОРԚЅТԜХҮѴӔӘ"
 _CYR_LATIN = "acdehijlopqsyvwxæəABCEGHIJKIMOPQSTWXYVÆƏ"
@@ -16,6 +18,18 @@ _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 
 
+def _with_marks() -> dict[str, str]:
+    """Look-alike letters with a mark that are characters of their own, and what they look like."""
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    pairs = zip(_CYRILLIC + _GREEK + _ARMENIAN, _CYR_LATIN + _GRE_LATIN + _ARM_LATIN)
+    return {nfc(a + chr(m)): nfc(b + chr(m)) for a, b in pairs for m in range(0x300, 0x370) if len(nfc(a + chr(m))) == 1}
+
+
+_MARKED = _with_marks()
+_ONE = {a: b for a, b in _MARKED.items() if len(b) == 1}
+_MORE = {a: b for a, b in _MARKED.items() if len(b) > 1}
+
+
 def _quoted(s: str) -> str:
     return s.replace("'", "''")
 
@@ -25,7 +39,10 @@ def _shown(c: str) -> str:
     bare = f"regexp_replace({c}, '[\\x{{AD}}\\x{{34F}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')"
     bare = f"regexp_replace({bare}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
     bare = f"regexp_replace({bare}, '[\\x{{2D7}}\\x{{2010}}-\\x{{2012}}\\x{{2043}}\\x{{2212}}\\x{{FE63}}\\x{{FF0D}}]', '-', 'g')"
-    letters = f"translate(replace(replace(replace({bare}, 'ɡ', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_CYRILLIC}{_GREEK}{_ARMENIAN}{_quoted(_WIDE)}', '{_CYR_LATIN}{_GRE_LATIN}{_ARM_LATIN}{_quoted(_NARROW)}')"
+    for a, b in ({"ɡ": "g", "ﬁ": "fi", "ﬂ": "fl"} | _MORE).items():
+        bare = f"replace({bare}, '{a}', '{b}')"
+    many, plain = _CYRILLIC + _GREEK + _ARMENIAN + "".join(_ONE), _CYR_LATIN + _GRE_LATIN + _ARM_LATIN + "".join(_ONE.values())
+    letters = f"translate(nfc_normalize({bare}), '{many}{_quoted(_WIDE)}', '{plain}{_quoted(_NARROW)}')"
     return f"trim(nfc_normalize({letters}))"
 
 
